@@ -1,7 +1,15 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import simhash
+from . import linededup, packing, simhash, warc
 
-QUERIES = {"op8_simhash": simhash.query}
+QUERIES = {
+    "op1_line_dedup": linededup.query,
+    "op3_packing": packing.query,
+    "op5_warc": warc.query,
+    "op8_simhash": simhash.query,
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": linededup.ORACLE,
+    "op5_warc": warc.ORACLE,
+}
