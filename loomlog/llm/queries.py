@@ -1,12 +1,16 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import linededup, packing, simhash, warc
+from . import ann, linededup, packing, quality, secrets, simhash, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": linededup.query,
     "op3_packing": packing.query,
+    "op4_toxicity": toxicity.query,
     "op5_warc": warc.query,
+    "op6_secrets": secrets.query,
     "op8_simhash": simhash.query,
+    "op9_quality": quality.query,
+    "op10_ann": ann.query,
 }
 
 ORACLES: dict[str, str] = {
