@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import ann, linededup, packing, quality, secrets, simhash, toxicity, warc
+from . import ann, decontam, linededup, packing, quality, secrets, simhash, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": linededup.query,
+    "op2_decontamination": decontam.query,
     "op3_packing": packing.query,
     "op4_toxicity": toxicity.query,
     "op5_warc": warc.query,
