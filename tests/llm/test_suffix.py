@@ -59,7 +59,8 @@ def test_brute_force_with_small_flushes(spark, monkeypatch):
 
 
 def test_repeated_rows_null_ids_and_empty(spark):
-    t = "".join(random.Random(8).choice("abcdef") for _ in range(300))
+    rnd = random.Random(8)
+    t = "".join(rnd.choice("abcdef") for _ in range(300))
     df = spark.createDataFrame([(None, t), (1, t), (1, t), (2, "q" + t)], "doc_id long, text string")
     got = sorted(((r.doc_id or -1), r.n_removed) for r in suffix.digests(df).collect())
     assert got == [(-1, 0), (1, 300), (1, 300), (2, 300)]
