@@ -172,25 +172,19 @@ def _batches(rows):
         yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.string()), pa.array(x, pa.binary())], ["bucket", "kind", "blob"])
 
 
-def _table(rows) -> pa.Table:
-    rows = list(rows)
-    b, k, x = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.table({"bucket": pa.array(b, pa.int32()), "kind": pa.array(k, pa.string()), "blob": pa.array(x, pa.binary())})
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """(_doc, _th, text): neither key is ever null, so that all joins can share one exchange of the texts."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)).alias("_doc"), F.hash(text).alias("_th"), text.alias("text"))
 
 
-def _scan(texts: DataFrame, buckets: int) -> DataFrame:
+def _scan(texts: DataFrame, buckets: int, lanes: int) -> DataFrame:
     """Step 1: packed stretches by anchor, with what a task can decide by itself."""
 
     def send(parts):
         start, run, ao, anchor, digest, doc, th = (np.concatenate(x) for x in zip(*parts, strict=True))
         late = _later([digest, anchor], [doc, th, start])
-        yield from _deal(_of_doc(doc[late], th[late], buckets), [doc[late], th[late], start[late], run[late] + LENGTH - 1], SPAN, "S")
+        yield from _deal(_of_doc(doc[late], th[late], lanes), [doc[late], th[late], start[late], run[late] + LENGTH - 1], SPAN, "S")
         start, run, ao, anchor, digest, doc, th = (x[~late] for x in (start, run, ao, anchor, digest, doc, th))
         bucket = ((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         _, inverse, count = np.unique(anchor, return_inverse=True, return_counts=True)
@@ -198,7 +192,7 @@ def _scan(texts: DataFrame, buckets: int) -> DataFrame:
         low = anchor & np.uint64(0xFFFFFFFF)
         if hot.any():
             cols = [x[hot] for x in (doc, th, start, run, ao, low, bucket)]
-            yield from _deal(_of_doc(cols[0], cols[1], buckets), [*cols, np.ones(len(cols[0]))], PENDING, "P")
+            yield from _deal(_of_doc(cols[0], cols[1], lanes), [*cols, np.ones(len(cols[0]))], PENDING, "P")
             _, mark = np.unique(anchor[hot], return_index=True)
             mark = np.flatnonzero(hot)[mark]
             zero = np.zeros(len(mark), np.int64)
@@ -228,26 +222,40 @@ def _scan(texts: DataFrame, buckets: int) -> DataFrame:
     return texts.mapInArrow(run, BLOBS)
 
 
-def _by_kind(group: pa.Table) -> dict[str, list[bytes]]:
-    out: dict[str, list[bytes]] = {}
-    for k, x in zip(group.column("kind").to_pylist(), group.column("blob").to_pylist(), strict=True):
-        out.setdefault(k, []).append(x)
+def _by_bucket(batches) -> dict[int, dict[str, list[bytes]]]:
+    """The packed blobs of a task's partition, by bucket and kind."""
+    out: dict[int, dict[str, list[bytes]]] = {}
+    for b in batches:
+        for bucket, kind, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            out.setdefault(bucket, {}).setdefault(kind, []).append(blob)
     return out
 
 
-def _meet(blobs: DataFrame, buckets: int) -> DataFrame:
+def _sent(parts: list[list[np.ndarray]], kinds, kind: str, lanes: int):
+    """What a task found in all its buckets (columns start with doc, th), one blob for each lane of documents."""
+    if parts:
+        cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        yield from _deal(_of_doc(cols[0], cols[1], lanes), cols, kinds, kind)
+
+
+def _meet(blobs: DataFrame, lanes: int) -> DataFrame:
     """Step 2: marks of equal stretches, and the stretches whose windows must be compared."""
 
-    def reduce(key, group):
-        mine = _by_kind(group)
-        rows = [(key[0].as_py(), k, x) for k in "SP" for x in mine.get(k, [])]
-        if "E" in mine:
+    def run(batches):
+        held = _by_bucket(batches)
+        marks, waits = [], []
+        for bucket in sorted(held):
+            mine = held.pop(bucket)
+            marks += [unpack([x], SPAN)[0] for x in mine.get("S", [])]
+            waits += [unpack([x], PENDING)[0] for x in mine.get("P", [])]
+            if "E" not in mine:
+                continue
             (anchor, digest, doc, th, start, run, ao), _ = unpack(mine["E"], ENTRY)
             marked = np.unique(anchor[run == 0])
             real = run > 0
             anchor, digest, doc, th, start, run, ao = (x[real] for x in (anchor, digest, doc, th, start, run, ao))
             late = _later([digest, anchor], [doc, th, start])
-            rows += _deal(_of_doc(doc[late], th[late], buckets), [doc[late], th[late], start[late], run[late].astype(np.int64) + LENGTH - 1], SPAN, "S")
+            marks.append([doc[late], th[late], start[late], (run[late].astype(np.int64) + LENGTH - 1).astype("<u4")])
             # rows at one place are one stretch: keep one of each digest
             keep = np.flatnonzero(~late)
             anchor, digest, doc, th, start, run, ao = (x[keep] for x in (anchor, digest, doc, th, start, run, ao))
@@ -258,11 +266,10 @@ def _meet(blobs: DataFrame, buckets: int) -> DataFrame:
             is_marked = np.isin(anchor, marked)
             wait = np.flatnonzero((count[inverse] > 1) | is_marked)
             hot = (is_marked | (count[inverse] > HOT_BUCKET))[wait]
-            cols = [x[wait] for x in (doc, th, start, run, ao, anchor)]
-            rows += _deal(_of_doc(cols[0], cols[1], buckets), [*cols, np.full(len(wait), key[0].as_py()), hot], PENDING, "P")
-        return _table(rows)
+            waits.append([*(x[wait] for x in (doc, th, start, run, ao, anchor)), np.full(len(wait), bucket, "<u4"), hot.astype("u1")])
+        yield from _batches([*_sent(marks, SPAN, "S", lanes), *_sent(waits, PENDING, "P", lanes)])
 
-    return blobs.groupBy("bucket").applyInArrow(reduce, BLOBS)
+    return blobs.repartition("bucket").mapInArrow(run, BLOBS)
 
 
 def _pending(met: DataFrame) -> DataFrame:
@@ -285,7 +292,7 @@ def _expand(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first.astype(np.int64), n)
 
 
-def _contents(texts: DataFrame, pending: DataFrame, buckets: int) -> DataFrame:
+def _contents(texts: DataFrame, pending: DataFrame, buckets: int, lanes: int) -> DataFrame:
     """Step 3, sending: bytes of the waiting stretches by anchor, windows of hot ones by their hash."""
 
     def run(batches):
@@ -314,7 +321,7 @@ def _contents(texts: DataFrame, pending: DataFrame, buckets: int) -> DataFrame:
                     h2 = _DIGEST.spans(_DIGEST.sums(base), local, local + LENGTH)
                     wd, wt, ws = d[warm][owner], t[warm][owner], place - off[own[warm][owner]]
                     late = _later([h1, h2], [wd, wt, ws])
-                    rows += _deal(_of_doc(wd[late], wt[late], buckets), [wd[late], wt[late], ws[late], np.full(int(late.sum()), LENGTH)], SPAN, "S")
+                    rows += _deal(_of_doc(wd[late], wt[late], lanes), [wd[late], wt[late], ws[late], np.full(int(late.sum()), LENGTH)], SPAN, "S")
                     keep = ~late
                     rows += _deal((h1[keep] % np.uint64(buckets)).astype(np.int64), [h1[keep], h2[keep], wd[keep], wt[keep], ws[keep]], WINDOWS, "W")
                 yield from _batches(rows)
@@ -376,23 +383,26 @@ def repeated_windows(anchor, doc, th, start, run, ao, raw: bytes):
     return o[late], f[late]
 
 
-def _compare(blobs: DataFrame, buckets: int) -> DataFrame:
+def _compare(blobs: DataFrame, lanes: int) -> DataFrame:
     """Step 3, receiving: marks of windows that repeat."""
 
-    def reduce(key, group):
-        mine = _by_kind(group)
-        rows = [(key[0].as_py(), "S", x) for x in mine.get("S", [])]
-        if "C" in mine:
-            (anchor, doc, th, start, run, ao), raw = unpack(mine["C"], CONTENT)
-            o, f = repeated_windows(anchor, doc, th, start, run, ao, raw)
-            rows += _deal(_of_doc(doc[o], th[o], buckets), [doc[o], th[o], start[o].astype(np.int64) + f, np.full(len(o), LENGTH)], SPAN, "S")
-        if "W" in mine:
-            (h1, h2, doc, th, start), _ = unpack(mine["W"], WINDOWS)
-            late = _later([h1, h2], [doc, th, start])
-            rows += _deal(_of_doc(doc[late], th[late], buckets), [doc[late], th[late], start[late], np.full(int(late.sum()), LENGTH)], SPAN, "S")
-        return _table(rows)
-
-    return blobs.groupBy("bucket").applyInArrow(reduce, BLOBS)
+    def run(batches):
+        held = _by_bucket(batches)
+        marks = []
+        for bucket in sorted(held):
+            mine = held.pop(bucket)
+            marks += [unpack([x], SPAN)[0] for x in mine.get("S", [])]
+            if "C" in mine:
+                (anchor, doc, th, start, run, ao), raw = unpack(mine["C"], CONTENT)
+                o, f = repeated_windows(anchor, doc, th, start, run, ao, raw)
+                marks.append([doc[o], th[o], (start[o].astype(np.int64) + f).astype("<u4"), np.full(len(o), LENGTH, "<u4")])
+            if "W" in mine:
+                (h1, h2, doc, th, start), _ = unpack(mine["W"], WINDOWS)
+                late = _later([h1, h2], [doc, th, start])
+                marks.append([doc[late], th[late], start[late], np.full(int(late.sum()), LENGTH, "<u4")])
+        yield from _batches(_sent(marks, SPAN, "S", lanes))
+
+    return blobs.repartition("bucket").mapInArrow(run, BLOBS)
 
 
 def _merged(start: np.ndarray, size: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -426,9 +436,10 @@ def _spans(marks: DataFrame) -> DataFrame:
 def spans(texts: DataFrame) -> DataFrame:
     """(_doc, _th, spans) of the ``keyed`` texts that have repeated bytes."""
     spark = texts.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = common.cut(_meet(_scan(texts, buckets), buckets))
-    compared = _compare(_contents(texts, _pending(met), buckets), buckets)
+    lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * lanes  # a task takes one bucket after the other
+    met = common.cut(_meet(_scan(texts, buckets, lanes), lanes))
+    compared = _compare(_contents(texts, _pending(met), buckets, lanes), lanes)
     return _spans(met.where("kind = 'S'").union(compared.where("kind = 'S'")))
 
 
