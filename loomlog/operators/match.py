@@ -236,9 +236,20 @@ def parse(lines: DataFrame, catalog: Catalog, content: str = "content", backend:
         backend = "expr" if len(catalog.templates) <= MANY else "arrow"
     if backend == "arrow":
         return _by_arrow(lines, catalog, content)
-    out = lines.withColumn("matches", matches_column(catalog, F.col(content)))
-    rest = F.when(F.size("matches") == 0, partial_column(catalog, F.col(content))).otherwise(F.array().cast(PARTIAL)) if partial else F.array().cast(PARTIAL)
-    return out.withColumn("partial", rest)
+    out = once(lines, matches=matches_column(catalog, F.col(content)))
+    if not partial:
+        return out.withColumn("partial", F.array().cast(PARTIAL))
+    return once(out, partial=F.when(F.size("matches") == 0, partial_column(catalog, F.col(content))).otherwise(F.array().cast(PARTIAL)))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are worked out once for each row.
+
+    The optimiser would copy a projected expression into every later use of its
+    column, filters above all; it does not do so across a generator, and that
+    of one struct gives one row.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def shares_values(catalog: Catalog) -> bool:
@@ -257,8 +268,8 @@ def fields_column(catalog: Catalog) -> Column:
     every = F.concat(F.flatten(F.col("matches.fields")), F.flatten(F.col("partial.fields")))
     if not shares_values(catalog):
         return every
-    later = lambda f, i: F.exists(F.slice(every, i + 2, F.greatest(F.size(every) - i - 1, F.lit(0))), lambda g: g["node_id"] == f["node_id"])
-    return F.filter(every, lambda f, i: ~later(f, i))
+    last = lambda e: F.filter(e, lambda f, i: ~F.exists(F.slice(e, i + 2, F.greatest(F.size(e) - i - 1, F.lit(0))), lambda g: g["node_id"] == f["node_id"]))
+    return F.get(F.transform(F.array(every), last), F.lit(0))
 
 
 def trail_column(catalog: Catalog) -> Column:

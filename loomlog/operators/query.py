@@ -73,7 +73,7 @@ def prepare(parsed: DataFrame, catalog: Catalog, include_partial: bool = True) -
     """``parsed`` with the columns that predicates read: fields and trail."""
     if not include_partial:
         parsed = parsed.withColumn("partial", F.array().cast(match.PARTIAL))
-    return parsed.withColumn("fields", match.fields_column(catalog)).withColumn("trail", match.trail_column(catalog))
+    return match.once(parsed, fields=match.fields_column(catalog), trail=match.trail_column(catalog))
 
 
 def predicate(catalog: Catalog, query: Query | Condition, standardized: bool = False, events: tuple[str, ...] = (), reference: str = "1970-01-01") -> Column:
