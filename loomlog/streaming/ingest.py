@@ -32,8 +32,8 @@ def dead_letters(spark: SparkSession, home: str) -> DataFrame:
 def start(lines: DataFrame, catalog: Catalog, home: str, content: str = "content", on_buffer: Callable[[DataFrame], None] | None = None, buffer: int = BUFFER, once: bool = True) -> StreamingQuery:
     """Match a stream of lines into ``home``/matched and ``home``/unmatched.
 
-    Lines of more than MAX_LINE characters are matched like others but never
-    kept for discovery.  ``on_buffer`` gets the dead letters of a batch when
+    Null lines and lines of more than MAX_LINE characters are matched like
+    others but never kept for discovery.  ``on_buffer`` gets the dead letters of a batch when
     there are ``buffer`` of them or more.
     """
 
