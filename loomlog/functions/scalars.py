@@ -11,12 +11,10 @@ from pyspark.sql import functions as F
 
 BLANKS = " \t\n\r\f\x0b"
 
-# Date formats in order of preference, as Spark patterns; those without a year take the reference date's.
-DATE_TIMES = [
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd", "yyyy/MM/dd", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "MMMM d, yyyy", "d MMMM yyyy", "yyyy MMMM d", "d MMM yyyy", "MMM d, yyyy",
-    "M/d/yyyy HH:mm:ss", "d/M/yyyy HH:mm:ss", "M-d-yyyy HH:mm:ss", "d-M-yyyy HH:mm:ss", "M/d/yyyy HH:mm", "d/M/yyyy HH:mm", "M-d-yyyy HH:mm", "d-M-yyyy HH:mm",
-]
+# Date formats in order of preference, as Spark patterns; ISO forms are read by a cast, and those without a year take the reference date's.
+NAMED = ["MMMM d, yyyy", "d MMMM yyyy", "yyyy MMMM d", "d MMM yyyy", "MMM d, yyyy"]
+SLASHED = ["yyyy/MM/dd", "M/d/yyyy", "d/M/yyyy", "M/d/yyyy HH:mm:ss", "d/M/yyyy HH:mm:ss", "M/d/yyyy HH:mm", "d/M/yyyy HH:mm"]
+DASHED = ["M-d-yyyy", "d-M-yyyy", "M-d-yyyy HH:mm:ss", "d-M-yyyy HH:mm:ss", "M-d-yyyy HH:mm", "d-M-yyyy HH:mm"]
 YEARLESS = ["yyyy MMM d HH:mm:ss", "yyyy MMMM d HH:mm:ss"]
 TIMES = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm"]
 LAST_EPOCH = 4_102_444_800
@@ -66,12 +64,18 @@ def parse_epoch(c: Column, reference: str = "1970-01-01") -> Column:
     shift = F.when(zoned & (digits != ""), sign * (F.substring(digits, 1, 2).try_cast("long") * 3600 + F.substring(digits, 3, 2).try_cast("long") * 60)).otherwise(F.lit(0))
     year = reference[:4]
     stamp = lambda x, f: F.try_to_timestamp(x, F.lit(f)).cast("long")
-    tries = [stamp(bare, f) for f in DATE_TIMES]
-    tries += [stamp(F.concat(F.lit(f"{year} "), bare), f) for f in YEARLESS]
-    tries += [stamp(F.concat(F.lit(f"{reference} "), bare), f) for f in TIMES]
+    first = lambda formats, x: F.coalesce(*[stamp(x, f) for f in formats])
+    # a format that does not fit costs an exception, so the text's shape chooses which are tried
+    by_shape = (
+        F.when(bare.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$"), bare.try_cast("timestamp").cast("long"))
+        .when(bare.rlike(r"^\d{1,2}:\d{2}"), first(TIMES, F.concat(F.lit(f"{reference} "), bare)))
+        .when(bare.rlike("[A-Za-z]"), F.coalesce(first(NAMED, bare), first(YEARLESS, F.concat(F.lit(f"{year} "), bare))))
+        .when(bare.contains("/"), first(SLASHED, bare))
+        .when(bare.contains("-"), first(DASHED, bare))
+    )
     number = s.try_cast("long")
     numeric = F.coalesce(F.when(F.length(s) == 14, stamp(s, "yyyyMMddHHmmss")), F.when(F.length(s) == 8, stamp(s, "yyyyMMdd")), F.when((number > 0) & (number < LAST_EPOCH), number))
-    return F.when(s.rlike(r"^\d+$"), numeric).otherwise(F.coalesce(*tries) - shift)
+    return F.when(s.rlike(r"^\d+$"), numeric).otherwise(by_shape - shift)
 
 
 def edit_distance(a: Column, b: Column) -> Column:
