@@ -11,8 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import scalars
-from .operators import export, graphs, match, metrics, query, similarity, stats, taxonomy, votes
+from .functions import scalars, sql
+from .operators import export, graphs, heuristics, match, metrics, query, similarity, stats, taxonomy, votes
 from .oracles import ORACLES  # noqa: F401
 from .plans.catalog import Catalog, Token, tables, wildcard
 from .sources import logs
@@ -310,6 +310,31 @@ def nearest_description(spark, sf_dir):
     return similarity.nearest_description(_vectors(spark, sf_dir))
 
 
+def density_clusters(spark, sf_dir):
+    return heuristics.density_clusters(_vectors(spark, sf_dir), 0.05)
+
+
+def line_prefixes(spark, sf_dir):
+    return heuristics.prefixes(*_parsed(spark, sf_dir))
+
+
+def filled_matches(spark, sf_dir):
+    return heuristics.filled(_parsed(spark, sf_dir, False)[0])
+
+
+def structured_matches(spark, sf_dir):
+    lines = order_lines(spark, sf_dir).select(F.col("line_id").alias("LineId"), F.col("content").alias("Content"))
+    found = heuristics.parse_structured(lines, {"any": "order <*> status=<*> total=<*> prio=<*>", "open": "order <*> status=O total=<*> <*>"})
+    return found.select("LineId", F.array_join("ids", ",").alias("ids"), F.array_join(F.flatten("groups"), "|").alias("groups"))
+
+
+def log_fields_udtf(spark, sf_dir):
+    """The SQL table function over all lines."""
+    sql.register(spark, app_catalog(), "app_")
+    event_lines(spark, sf_dir).createOrReplaceTempView("app_lines")
+    return spark.sql("SELECT line_id, f.template_id, f.node_id, f.value FROM app_lines, LATERAL app_log_fields(content) AS f")
+
+
 def token_weights(spark, sf_dir):
     return stats.token_weights(extract_fields_long(spark, sf_dir))
 
@@ -389,7 +414,7 @@ QUERIES = {
         normalize_lines, full_match_templates, multi_match_lines, unmatched_lines, unused_templates, extract_fields_long, extract_fields_wide, partial_matches, wildcard_render, q_batch_from_json,
         value_counts, top_values, template_counts, node_counts, match_stats, tree_stats, examples_per_template, last_n_per_template, export_attributes, export_taxonomy, export_json, loghub_rows,
         overlap_pairs, overlap_components, partition_shares, group_accuracy, group_similarity, parser_accuracy, template_similarity, schema_group_similarity, mapping_score, query_precision_recall,
-        jaccard_topk, jaccard_clusters, cluster_medoid, cosine_topk, centroid_rank, cosine_clusters, nearest_description, token_weights, value_overlap, parse_float_lenient, parse_datetime, type_validate,
+        jaccard_topk, jaccard_clusters, cluster_medoid, cosine_topk, centroid_rank, cosine_clusters, nearest_description, density_clusters, line_prefixes, filled_matches, structured_matches, log_fields_udtf, token_weights, value_overlap, parse_float_lenient, parse_datetime, type_validate,
         lineage, degree_of_separation, taxonomy_siblings, type_votes, html_fields, stream_match_available_now,
     )
 } | {

@@ -140,6 +140,15 @@ ORACLES: dict[str, str] = {
     "cosine_clusters": f"""WITH RECURSIVE {_V}, {_C}, e AS (SELECT a.label AS a, b.label AS b FROM c a, c b WHERE a.label <> b.label AND list_cosine_similarity(a.y, b.y) > 0.2),
         r AS (SELECT label AS id, label AS root FROM c UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id) SELECT id AS label, min(root) AS merged FROM r GROUP BY id""",
     "nearest_description": f"WITH {_V}, {_C} SELECT label, id FROM v JOIN c USING (label) QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(list_cosine_similarity(x, y), 9) DESC, id) = 1",
+    "density_clusters": f"""WITH RECURSIVE {_V}, e AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id AND list_distance(a.x, b.x) <= 0.05),
+        r AS (SELECT DISTINCT a AS id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id) SELECT v.id, c.root AS cluster FROM v LEFT JOIN (SELECT id, min(root) AS root FROM r GROUP BY id) c USING (id)""",
+    "line_prefixes": f"{_W} SELECT line_id, 7::INTEGER AS node_id, regexp_extract(content, '^(.*\\]:\\s+)', 1) AS prefix, regexp_extract(content, '\\]:\\s+(.*)$', 1) AS suffix FROM p WHERE e = 'view'",
+    "filled_matches": f"{_W} SELECT line_id, template_id FROM m",
+    "structured_matches": f"""WITH {_ORDERS}, x AS (SELECT line_id, content, regexp_extract(content, '{_ORDER_R}', ['k', 's', 't', 'p']) AS g FROM o)
+        SELECT line_id AS LineId, CASE WHEN g['s'] = 'O' THEN 'any,open' ELSE 'any' END AS ids, g['k'] || '|' || g['s'] || '|' || g['t'] || '|' || g['p'] || CASE WHEN g['s'] = 'O' THEN '|' || g['k'] || '|' || g['t'] || '|prio=' || g['p'] ELSE '' END AS groups FROM x""",
+    "log_fields_udtf": f"""{_W}, y AS (SELECT m.line_id, template_id, [8, 12, 16, 20][template_id + 1] AS base, d, p.t AS c, h, u, e, v, p.p AS j FROM m JOIN p ON m.line_id = p.line_id),
+        z AS (SELECT line_id, template_id, unnest([1, 2, 4, 6, base, base + 2, base + 3]) AS n, unnest([d, c, h, u, e, v, j]) AS value FROM y)
+        SELECT line_id, template_id, n::INTEGER AS node_id, value FROM z""",
     "token_weights": f"""{_W}, s AS (SELECT node_id, count(*) AS k FROM f GROUP BY node_id),
         t AS (SELECT node_id, unnest(list_distinct(list_filter(list_concat([value], regexp_split_to_array(value, '[^0-9A-Za-z]+')), lambda x: x <> ''))) AS token FROM f)
         SELECT node_id, token, count(*) AS n, round(count(*) / any_value(k), 6)::DOUBLE AS weight FROM t JOIN s USING (node_id) GROUP BY node_id, token""",
