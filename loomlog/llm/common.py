@@ -124,16 +124,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges(u, v)``: root is the smallest node reachable.
 
     Alternating large-star and small-star contraction: rounds grow with the
-    logarithm of a component's size; minima are pre-aggregated, so a node
-    with very many neighbours needs no task that holds them all.
+    logarithm of a component's size.  Minima are pre-aggregated and written
+    before they are joined, so both sides of each join are plain exchanges,
+    which Spark splits where a node has very many neighbours.
     """
     e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     while True:
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"), F.col("u").alias("w"))
         star = small.select("u", "v").union(small.select(F.col("w").alias("u"), "v")).where("u <> v").distinct()
         e = cut(star)

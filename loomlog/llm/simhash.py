@@ -142,7 +142,7 @@ def components(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     roots = common.connected_components(links(classes.select("fp"), radius))
     joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     joined = common.cut(joined)
-    smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    smallest = common.cut(joined.groupBy("root").agg(F.min("least").alias("component_id")))  # written, so that the join can split a very large component
     of = joined.join(smallest, "root").select("fp", "component_id")
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
