@@ -36,6 +36,7 @@ MATCHES = f"array<struct<template_id:int,trail_len:int,fields:{FIELDS}>>"
 PARTIAL = f"array<struct<node_id:int,suffix:string,fields:{FIELDS}>>"
 #: Templates up to which expressions are used, and templates in one array expression.
 MANY, CHUNK = 150, 50
+SPREAD_LEAST, SPREAD_MOST = 1 << 18, 1 << 32
 _MARK = "\x01"
 
 
@@ -229,9 +230,10 @@ def _by_arrow(lines: DataFrame, catalog: Catalog, content: str) -> DataFrame:
 
 
 def parse(lines: DataFrame, catalog: Catalog, content: str = "content", backend: str = "auto", partial: bool = True) -> DataFrame:
-    """``lines`` with ``matches`` and ``partial``, one row for each line and no shuffle."""
+    """``lines`` with ``matches`` and ``partial``, one row for each line and no shuffle (but see ``spread``)."""
     if {"matches", "partial"} & set(lines.columns):
         raise ValueError("lines must not have columns named matches or partial")
+    lines = spread(lines)
     if backend == "auto":
         backend = "expr" if len(catalog.templates) <= MANY else "arrow"
     if backend == "arrow":
@@ -242,6 +244,19 @@ def parse(lines: DataFrame, catalog: Catalog, content: str = "content", backend:
     return once(out, partial=F.when(F.size("matches") == 0, partial_column(catalog, F.col(content))).otherwise(F.array().cast(PARTIAL)))
 
 
+def spread(lines: DataFrame) -> DataFrame:
+    """A small table dealt out over all cores: one file of a few MB is one task, and matching costs far more than reading.
+
+    Tables of more than SPREAD_MOST bytes, or 16 MB for each core, have splits enough and stay where they are.
+    """
+    plan = getattr(lines, "_jdf", None)
+    if plan is None or lines.isStreaming:
+        return lines
+    cores = lines.sparkSession.sparkContext.defaultParallelism
+    size = int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return lines.repartition(cores) if SPREAD_LEAST <= size <= min(SPREAD_MOST, cores << 24) else lines
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with columns that are worked out once for each row.
 

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..plans.catalog import Catalog, wildcard
-from . import match
+from . import graphs, match
 
 
 def combinations(lines: DataFrame, baseline: Catalog, target: Catalog, content: str = "content") -> DataFrame:
     """(b, t, n): lines by the baseline's and the target's set of templates."""
     ids = lambda c: F.array_sort(F.transform(match.matches_column(c, F.col(content)), lambda m: m["template_id"]))
-    return lines.select(ids(baseline).alias("b"), ids(target).alias("t")).groupBy("b", "t").agg(F.count("*").alias("n"))
+    sets = match.spread(lines).select(ids(baseline).alias("b"), ids(target).alias("t"))
+    return graphs.cut(sets.groupBy("b", "t").agg(F.count("*").alias("n")))  # a few rows that are read several times
 
 
 def combinations_of_rows(baseline: DataFrame, target: DataFrame, key: str = "line_id") -> DataFrame:
@@ -26,7 +27,7 @@ def combinations_of_rows(baseline: DataFrame, target: DataFrame, key: str = "lin
     own = lambda df, name: df.groupBy(key).agg(F.array_sort(F.collect_set("template_id")).alias(name))
     empty = F.array().cast("array<int>")
     both = own(baseline, "b").join(own(target, "t"), key, "full")
-    return both.select(F.coalesce("b", empty).alias("b"), F.coalesce("t", empty).alias("t")).groupBy("b", "t").agg(F.count("*").alias("n"))
+    return graphs.cut(both.select(F.coalesce("b", empty).alias("b"), F.coalesce("t", empty).alias("t")).groupBy("b", "t").agg(F.count("*").alias("n")))
 
 
 def _texts(spark, catalog: Catalog, name: str) -> DataFrame:
@@ -76,7 +77,7 @@ def group_accuracy_of_reference(combos: DataFrame, soft: bool = False) -> DataFr
 def _node_lines(lines: DataFrame, catalog: Catalog, content: str) -> DataFrame:
     """(nodes, n): lines by the nodes on their trail."""
     parsed = match.parse(lines.select(content), catalog, content)
-    return parsed.select(F.array_sort(match.trail_column(catalog)).alias("nodes")).groupBy("nodes").agg(F.count("*").alias("n"))
+    return graphs.cut(parsed.select(F.array_sort(match.trail_column(catalog)).alias("nodes")).groupBy("nodes").agg(F.count("*").alias("n")))
 
 
 def schema_group_score(lines: DataFrame, baseline: Catalog, target: Catalog, soft: bool = False, penalise_overcapture: bool = True, content: str = "content") -> DataFrame:
