@@ -270,7 +270,7 @@ def query_precision_recall(spark, sf_dir):
 
 
 def jaccard_topk(spark, sf_dir):
-    own = lambda t, i: read(spark, sf_dir, t).select(F.col(i).alias("id"), scalars.line_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    own = lambda t, i: match.spread(read(spark, sf_dir, t).select(i, "text")).select(F.col(i).alias("id"), scalars.line_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
     found = similarity.jaccard_topk(own("benchmark", "item_id"), own("documents", "doc_id"), 3)
     return found.withColumn("score", F.round("score", 6))
 

@@ -68,18 +68,22 @@ def _jaccard_pass(targets: DataFrame, block: list, k: int) -> DataFrame:
     def run(batches):
         ids, sizes, postings = shared.value
         best: list[list] = [[] for _ in ids]
+        worst = np.full(len(ids), -1.0)  # score that a target must reach to be looked at
         for b in batches:
             for target, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 tokens = tokens or []
                 hits = [postings[t] for t in tokens if t in postings]
                 both = np.bincount(np.concatenate(hits), minlength=len(ids)) if hits else np.zeros(len(ids), int)
                 total = np.maximum(sizes + len(tokens) - both, 1)
-                for q, s in enumerate((both / total).tolist()):
-                    entry = (s, -target)
+                score = both / total
+                for q in np.flatnonzero(score >= worst).tolist():
+                    entry = (float(score[q]), -target)
                     if len(best[q]) < k:
                         heapq.heappush(best[q], entry)
                     elif entry > best[q][0]:
                         heapq.heapreplace(best[q], entry)
+                    if len(best[q]) == k:
+                        worst[q] = best[q][0][0]
         rows = [(ids[q], -t, s) for q, own in enumerate(best) for s, t in own]
         q, t, s = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(t, pa.int64()), pa.array(s, pa.float64())], ["query_id", "target_id", "score"])
