@@ -1,31 +1,36 @@
-"""Benchmark decontamination: CGK embeddings, bit-sampling LSH and exact edit verification.
+"""Benchmark decontamination: pigeonhole seeds, hierarchical and exact edit verification.
 
 Texts and items are compared in lower case with runs of anything but letters
 and digits as one space.  A text is contaminated by an item if some part of it
 has edit similarity ``SIMILARITY`` or more to the item: at most
 (1 - SIMILARITY) * length edits.
 
-1. Windows.  Item-sized windows are taken on the diagonals on which text and
-   item share grams of ``GRAM`` bytes (at least ``HITS``, as even a passage
-   with a fifth of its bytes edited at random shares several).
-2. LSH.  CGK random walks embed windows and items, so that few edits give few
-   differing places.  Each of ``REPEATS`` samplings of each of ``WALKS``
-   embeddings reads ``SAMPLED`` places; a window and an item meet where all of
-   them agree in any sampling.  All texts walk by the same random steps.
+1. Seeds.  An item of length L may have e = floor((1 - SIMILARITY) * L) edits.
+   Cut into e + 1 pieces, at least one piece stands in the text unchanged:
+   every place of a text where a piece of 3 to 5 bytes stands is a seed.
+2. Hierarchy.  Adjacent pieces are joined by twos, fours and so on.  If j
+   joined pieces have at most j - 1 edits, so has one half with its own count;
+   so some seed leads up through joined pieces that all keep their bound, and
+   seeds that break a bound on the way are dropped without any loss.
 3. Verification.  Myers' bit-parallel algorithm finds the item's least edit
-   distance to any part of the window with its margins.
+   distance to any part of the text around every seed that is left.
+
+Nothing within the similarity is lost, wherever its edits are.  CGK walks with
+bit sampling (``Walks``) lose matches and are no part of the search.
 
 Items are broadcast in passes of at most ``ITEM_BYTES`` bytes.  Texts stay
 where they are: nothing is shuffled.
 
-Cases: null or blank texts and items match nothing; items shorter than a gram
-must occur exactly, between word ends; long texts are read whole; repeated rows
+Cases: null or blank texts and items match nothing; items under
+``SHORT`` bytes must occur exactly, between word ends; long texts are read whole; repeated rows
 and null ids get a result each; equal items are reported for each of their
 ids; empty tables give no hits; other columns are kept or ignored.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,12 +39,15 @@ from pyspark.sql import functions as F
 from . import common
 
 SIMILARITY = 0.8
-GRAM, HITS = 12, 0.25
+SHORT = 12
 #: Independent walks, samplings of each walk's embedding, places in a sampling.
 WALKS, REPEATS, SAMPLED = 6, 32, 3
 ITEM_BYTES = 8_000_000
-_C0, _C1 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-FILTER_BITS = 22
+#: Places of a text that are looked up at once, and zeros around the texts.
+SLICE, PAD = 1 << 14, 192
+#: Joined pieces that are tried before the whole item.
+JOINED = (4, 8, 16, 32, 64)
+_C0 = np.uint64(0x9E3779B97F4A7C15)
 
 _FOLD = np.full(256, 32, np.uint8)
 for _a, _b in ((48, 58), (97, 123), (128, 256)):
@@ -57,22 +65,6 @@ def normal(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[at], at
 
 
-def grams(x: np.ndarray) -> np.ndarray:
-    """Hashes of all grams of ``x``."""
-    n = len(x) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    x = np.ascontiguousarray(x)
-    a = np.ndarray((n,), "<u8", x, 0, (1,)).astype(np.uint64)
-    b = np.ndarray((n,), "<u4", x, 8, (1,)).astype(np.uint64)
-    h = a * _C0
-    h ^= h >> np.uint64(29)
-    h += b * _C1
-    h *= _C0
-    h ^= h >> np.uint64(32)
-    return h
-
-
 def distance(pattern: bytes, text: bytes, most: int) -> tuple[int, int] | None:
     """Least edit distance (at most ``most``) of ``pattern`` to any part of ``text``, and where that part ends."""
     m = len(pattern)
@@ -150,69 +142,150 @@ class Items:
         self.ids, self.texts, self.short = [], [], []
         for item_id, text in items:
             x = normal(np.frombuffer((text or "").encode(), np.uint8))[0].tobytes().strip()
-            if len(x) >= GRAM:
+            if len(x) >= SHORT:
                 self.ids.append(item_id)
                 self.texts.append(x)
             elif x:
                 self.short.append((item_id, x))
         self.lengths = np.array([len(x) for x in self.texts], np.int64)
         self.most = np.floor((1 - similarity) * self.lengths + 1e-9).astype(np.int64)
-        shared = (self.lengths - GRAM + 1) * similarity**GRAM
-        self.least = np.minimum(np.maximum(2, np.floor(HITS * shared)), self.lengths - GRAM + 1).astype(np.int64)
-        h, item, offset = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k, x in enumerate(self.texts):
-            g = grams(np.frombuffer(x, np.uint8))
-            h.append(g)
-            item.append(np.full(len(g), k))
-            offset.append(np.arange(len(g)))
-        h, item, offset = np.concatenate(h), np.concatenate(item), np.concatenate(offset)
-        order = np.argsort(h, kind="stable")
-        self.item, self.offset = item[order], offset[order]
-        self.gram, first = np.unique(h[order], return_index=True)
-        self.first = np.append(first, len(h))
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[(self.gram >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        self.walks = Walks(int(self.lengths.max(initial=1)))
+        count = self.most + 1
+        piece = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        self.item = np.repeat(np.arange(len(count)), count)
+        length, count = self.lengths[self.item], count[self.item]
+        bound = lambda k: np.minimum(k, count) * length // np.maximum(count, 1)
+        self.start, end = bound(piece), bound(piece + 1)
+        base = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.concatenate([np.zeros(PAD, np.uint8), *(np.frombuffer(x, np.uint8) for x in self.texts), np.zeros(PAD, np.uint8)])
+        self.base = base[self.item] + PAD
+        self.size = np.minimum(end - self.start, 8)
+        ahead, back = eights(self.bytes)
+        # the other piece of each pair, read away from this one
+        even = piece % 2 == 0
+        low, high = np.where(even, end, bound(piece - 1)), np.where(even, bound(piece + 2), self.start)
+        other = np.minimum(high - low, 7)  # one byte more of the text must fit a word
+        self.other = np.where(even, ahead[self.base + low], back[self.base + self.start]) & MASK[other]
+        self.mask = MASK[other]
+        self.even, self.step = even, np.where(even, end - self.start, 0)
+        self.joined = []
+        for j in JOINED:
+            # less than half a group at the end goes to the group before it
+            last = np.maximum((count + j // 2) // j, 1) - 1
+            group = np.minimum(piece // j, last)
+            first, after = group * j, np.where(group == last, count, group * j + j)
+            a, b = bound(first), bound(after)
+            self.joined.append((a, b - a, after - first - 1))
+        # pieces by size and hash
+        code = ahead[self.base + self.start] & MASK[self.size]
+        self.bits = max(16, int(len(code)).bit_length() + 4)
+        self.tables = []
+        for size in np.unique(self.size).tolist():
+            own = np.flatnonzero(self.size == size)
+            slot = slots(code[own], self.bits)
+            order = np.argsort(slot, kind="stable")
+            n = np.bincount(slot, minlength=1 << self.bits)
+            self.tables.append((MASK[size], own[order], code[own[order]], n.astype(np.int32), np.cumsum(n) - n))
+
+    @cached_property
+    def walks(self) -> Walks:
+        return Walks(int(self.lengths.max(initial=1)))
+
+    @cached_property
+    def signatures(self) -> np.ndarray:
         wide = np.zeros((len(self.texts), int(self.lengths.max(initial=1))), np.uint8)
         for k, x in enumerate(self.texts):
             wide[k, : len(x)] = np.frombuffer(x, np.uint8)
-        self.signatures = self.walks.signatures(wide, self.lengths, self.lengths)
-
-
-def windows(items: Items, x: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, item, start) of the windows that share grams with an item; starts are places in ``x``."""
-    h = grams(x)
-    at = np.flatnonzero(items.filter[(h >> np.uint64(64 - FILTER_BITS)).view(np.int64)])
-    k = np.searchsorted(items.gram, h[at])
-    good = k < len(items.gram)
-    good[good] = items.gram[k[good]] == h[at[good]]
-    at, k = at[good], k[good]
-    doc = np.searchsorted(off, at, side="right") - 1
-    inside = at + GRAM <= off[doc + 1]
-    at, k, doc = at[inside], k[inside], doc[inside]
-    n = items.first[k + 1] - items.first[k]
-    which = np.repeat(np.arange(len(at)), n)
-    entry = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(items.first[k], n)
-    doc, item, start = doc[which], items.item[entry], at[which] - items.offset[entry]
-    # hits of one text and item whose diagonals lie within the allowed edits belong together
-    order = np.lexsort((start, item, doc))
-    doc, item, start = doc[order], item[order], start[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > np.maximum(8, items.most[item[1:]] // 2))
-    group = np.cumsum(new) - 1
-    count = np.bincount(group) if len(group) else np.zeros(0, np.int64)
-    enough = count >= items.least[item[new]]
-    # of each group, the diagonal with the most hits
-    fresh = new.copy()
-    fresh[1:] |= start[1:] != start[:-1]
-    heads = np.flatnonzero(fresh)
-    size = np.diff(np.append(heads, len(doc)))
-    best = np.lexsort((-size, group[heads]))
-    first = np.ones(len(best), bool)
-    first[1:] = group[heads[best]][1:] != group[heads[best]][:-1]
-    pick = heads[best[first]]
-    pick = pick[enough[group[pick]]]
-    return doc[pick], item[pick], start[pick]
+        return self.walks.signatures(wide, self.lengths, self.lengths)
+
+
+#: The lowest n bytes of a word.
+MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def slots(code: np.ndarray, bits: int) -> np.ndarray:
+    return ((code * _C0) >> np.uint64(64 - bits)).view(np.int64)
+
+
+def eights(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The eight bytes from each place on, and the eight before it, nearest first; both as long as ``x``."""
+    y = np.concatenate([np.zeros(8, np.uint8), x, np.zeros(8, np.uint8)])
+    word = np.ndarray((len(x) + 9,), "<u8", y, 0, (1,))
+    return word[8 : 8 + len(x)].copy(), word[: len(x)].byteswap()
+
+
+def one_edit(text: np.ndarray, piece: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Whether ``piece`` (its bytes under ``mask``) begins the text with at most one edit."""
+    seven, eight = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(8)
+    differ = (text ^ piece) & mask
+    low = (((differ & seven) + seven) | differ) & ~seven
+    low &= ~low + np.uint64(1)  # the top bit of the first byte that differs
+    after = ~(low | (low - np.uint64(1)))
+    out = (differ & after) == 0
+    out |= ((text << eight) ^ piece) & mask & after == 0
+    after = ~((low >> np.uint64(7)) - np.uint64(1))
+    out |= ((text >> eight) ^ piece) & mask & after == 0
+    return out
+
+
+def near(items: Items, x: np.ndarray, piece: np.ndarray, zero: np.ndarray, join: int) -> np.ndarray:
+    """Whether the joined pieces of each seed keep their bound around their own diagonal, on which the item starts at ``zero``."""
+    start, length, most = (v[piece] for v in items.joined[join])
+    width, band = int(length.max(initial=0)), int(most.max(initial=0))
+    kind = np.uint8 if 2 * width + 2 * band < 256 else np.uint16
+    out = np.empty(len(piece), bool)
+    for lo in range(0, len(piece), 8192):
+        own = slice(lo, lo + 8192)
+        at, n = start[own], length[own]
+        cols = np.arange(width)[:, None]
+        pattern = np.where(cols < n, items.bytes[np.minimum((items.base[piece[own]] + at) + cols, len(items.bytes) - 1)], 0)
+        wild = pattern == 0
+        text = x[np.clip((zero[own] + at - band) + np.arange(width + 2 * band)[:, None], 0, len(x) - 1)]
+        row = np.zeros((2 * band + 1, len(n)), kind)
+        for i in range(width):
+            new = row + ((text[i : i + 2 * band + 1] != pattern[i]) & ~wild[i])
+            np.minimum(new[:-1], row[1:] + kind(1), out=new[:-1])
+            d = 1
+            while d <= 2 * band:  # bytes that only the text has, by doubling
+                new[d:] = np.minimum(new[d:], new[:-d] + kind(d))
+                d *= 2
+            row = new
+        out[own] = row.min(axis=0) <= most[own]
+    return out
+
+
+def seeds(items: Items, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(item, start) of where items may stand, starts as places in ``x``; no item within its edits is left out."""
+    x = np.concatenate([np.zeros(PAD, np.uint8), x, np.zeros(PAD, np.uint8)])
+    ahead, back = eights(x)
+    kept_piece, kept_zero = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo in range(PAD, len(x) - PAD, SLICE):
+        own = ahead[lo : min(lo + SLICE, len(x) - PAD)]
+        for mask, entries, codes, count, first in items.tables:
+            code = own & mask
+            slot = slots(code, items.bits)
+            n = count[slot]
+            at = np.flatnonzero(n)
+            n = n[at]
+            which = np.repeat(at, n)
+            entry = np.arange(len(which)) + np.repeat(first[slot[at]] - (np.cumsum(n) - n), n)
+            same = np.flatnonzero(codes[entry] == code[which])
+            piece, at = entries[entry[same]], which[same] + lo
+            beside = np.where(items.even[piece], ahead[at + items.step[piece]], back[at])
+            good = np.flatnonzero(one_edit(beside, items.other[piece], items.mask[piece]))
+            kept_piece.append(piece[good])
+            kept_zero.append(at[good] - items.start[piece[good]])
+    piece, zero = np.concatenate(kept_piece), np.concatenate(kept_zero)
+    for join, j in enumerate(JOINED):
+        # seeds of the same joined pieces and diagonal are one
+        first = items.base[piece] + items.joined[join][0][piece]
+        order = np.lexsort((zero, first))
+        f, z = first[order], zero[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (f[1:] != f[:-1]) | (z[1:] != z[:-1])
+        piece, zero = piece[order[new]], zero[order[new]]
+        good = near(items, x, piece, zero, join)
+        piece, zero = piece[good], zero[good]
+    return items.item[piece], zero - PAD
 
 
 def matches(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -221,27 +294,31 @@ def matches(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[tuple[i
     off = np.searchsorted(place, offsets)
     out: dict[tuple[int, int], tuple[int, int, int]] = {}
     raw = x.tobytes()
-    doc, item, start = windows(items, x, off)
-    for lo in range(0, len(doc), 20_000):
-        d, i, s = doc[lo : lo + 20_000], item[lo : lo + 20_000], start[lo : lo + 20_000]
-        a = np.maximum(s, off[d])
-        lengths = np.minimum(a + items.lengths[i], off[d + 1]) - a
-        width = int(lengths.max(initial=1))
-        cols = a[:, None] + np.arange(width)[None, :]
-        wide = np.where(np.arange(width)[None, :] < lengths[:, None], x[np.minimum(cols, len(x) - 1)], 0).astype(np.uint8)
-        sig = items.walks.signatures(wide, lengths, items.lengths[i])
-        meet = np.flatnonzero((sig == items.signatures[i]).any(axis=1))
-        for w in meet.tolist():
-            di, it, at = int(d[w]), int(i[w]), int(s[w])
-            most, length, known = int(items.most[it]), int(items.lengths[it]), out.get((di, it))
-            if known and (known[0] == 0 or known[1] <= at < known[2]):
-                continue
-            left = max(int(off[di]), at - most)
-            right = min(int(off[di + 1]), at + length + 2 * most)
-            found = distance(items.texts[it], raw[left:right], most)
-            if found and (known is None or found[0] < known[0]):
-                end = left + found[1]
-                out[di, it] = found[0], max(left, end - length), end
+    item, start = seeds(items, x)
+    # the seed's document: a start may lie before it by the allowed edits, as may the end behind it
+    docs = [np.searchsorted(off, np.clip(start + shift, 0, max(len(x) - 1, 0)), side="right") - 1 for shift in (-items.most[item], items.lengths[item] + items.most[item])]
+    n = docs[1] - docs[0] + 1
+    which = np.repeat(np.arange(len(item)), n)
+    doc = docs[0][which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    item, start = item[which], start[which]
+    order = np.lexsort((start, item, doc))
+    doc, item, start = doc[order], item[order], start[order]
+    # windows that overlap are searched as one
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > items.lengths[item[1:]])
+    heads = np.flatnonzero(new)
+    tails = np.append(heads[1:], len(doc)) - 1
+    for a, b in zip(heads[: len(doc)].tolist(), tails[: len(heads)].tolist(), strict=True):
+        di, it = int(doc[a]), int(item[a])
+        most, length, known = int(items.most[it]), int(items.lengths[it]), out.get((di, it))
+        left = max(int(off[di]), int(start[a]) - most)
+        right = min(int(off[di + 1]), int(start[b]) + length + most)
+        if right - left < length - most or known and known[0] == 0:
+            continue
+        found = distance(items.texts[it], raw[left:right], most)
+        if found and (known is None or found[0] < known[0]):
+            end = left + found[1]
+            out[di, it] = found[0], max(left, end - length), end
     for item_id, text in items.short:
         padded = b" " + text + b" "
         at = (b" " + raw + b" ").find(padded)

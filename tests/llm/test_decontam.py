@@ -99,3 +99,53 @@ def test_empty(spark):
     b = spark.createDataFrame([(1, "some text that is long enough")], "item_id long, text string")
     assert decontam.hits(d, b.limit(0)).count() == 0 and decontam.hits(d.limit(0), b).count() == 0 and decontam.hits(d, b).count() == 1
     assert decontam.clean(d, b.limit(0)).count() == 1
+
+
+def spread(rnd, text, gap, kind):
+    """``text`` with an edit at each ``gap``-th byte, the fewest unchanged runs that so many edits can leave."""
+    out = []
+    for k, c in enumerate(text):
+        if k % gap != gap - 1:
+            out.append(c)
+        elif kind == "change":
+            out.append(rnd.choice([x for x in "abcdefgh" if x != c]))
+        elif kind == "insert":
+            out += [c, rnd.choice("abcdefgh")]
+    return "".join(out)
+
+
+def test_evenly_spread_edits_are_found_at_every_length():
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("aeinorst") for _ in range(rnd.randrange(2, 9)))
+    prose = lambda n: fold(" ".join(word() for _ in range(n))).decode()[:n]
+    texts = [prose(n).strip() for n in (12, 15, 19, 20, 33, 64, 100, 200, 323, 400, 1500, 4000)]
+    items = decontam.Items(list(enumerate(texts)))
+    docs, want = [], set()
+    for k, t in enumerate(texts):
+        for gap in (5, 6, 10, 12):
+            for kind in ("change", "insert", "remove"):
+                body = prose(40) + " " + spread(rnd, t, gap, kind) + " " + prose(40)
+                p, b = fold(t).strip(), fold(body)
+                if len(t) > 400 or edit(p, b) <= len(p) // 5:
+                    want.add((len(docs), k))
+                docs.append(body)
+    data = "".join(docs).encode()
+    off = np.cumsum([0] + [len(d) for d in docs])
+    got = {(d, i): far for d, i, far, _, _ in decontam.matches(items, np.frombuffer(data, np.uint8), off)}
+    assert want <= set(got) and len(want) >= 130
+    for (d, i), far in got.items():
+        if len(texts[i]) <= 100:
+            assert far == edit(fold(texts[i]).strip(), fold(docs[d])) <= len(texts[i]) // 5
+
+
+def test_search_loses_nothing_against_brute_force():
+    rnd = random.Random(21)
+    prose = lambda n: "".join(rnd.choice("abcde  ") for _ in range(n))
+    texts = [" ".join(prose(rnd.randrange(14, 60)).split()) for _ in range(12)]
+    texts = [t for t in texts if len(t) >= decontam.SHORT]
+    items = decontam.Items(list(enumerate(texts)))
+    docs = [prose(rnd.randrange(0, 60)) + noisy(rnd, rnd.choice(texts), rnd.choice([0, 0.1, 0.2, 0.25])) + prose(rnd.randrange(0, 60)) for _ in range(150)]
+    off = np.cumsum([0] + [len(d) for d in docs])
+    got = {(d, i): far for d, i, far, _, _ in decontam.matches(items, np.frombuffer("".join(docs).encode(), np.uint8), off)}
+    want = {(d, i): far for d, b in enumerate(docs) for i, p in enumerate(texts) if (far := edit(p.encode(), fold(b))) <= int(0.2 * len(p) + 1e-9)}
+    assert got == want
