@@ -5,7 +5,8 @@ and non-overlapping for each kind.  Beside them, every value that follows a
 credential word and a separator is rated by the cost of guessing it: dynamic
 programming finds the cheapest segmentation into dictionary words (with capitals
 and common digit-for-letter changes), dates, repeats, keyboard walks, sequences
-and brute-force spans.  Values that cost ``GUESS_BITS`` or more are ``guess``
+and brute-force spans, whose characters cost by the alphabets in them (so
+random values of 6 mixed characters, 7 small letters or 10 digits are found).  Values that cost ``GUESS_BITS`` or more are ``guess``
 spans, unless a base ``assign`` span covers them already.
 
 Offsets are code points.  Whole texts are scanned; cheap substring tests only
@@ -58,7 +59,9 @@ LONGEST = max(map(len, RANK))
 LEET = str.maketrans("4@831!05$7+", "aabelioss" + "tt")
 WALKS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "1qaz", "2wsx", "3edc", "4rfv", "5tgb", "6yhn", "7ujm", "8ik,", "9ol.", "0p;/")
 DATES = re.compile(r"(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
-BRUTE = math.log2(10)  # a character of a brute-force span: what guessers need in practice, not the alphabet's size
+#: Characters of a brute-force span cost by the alphabets that the span uses: a-z, A-Z, 0-9, other ASCII, all else.
+ALPHABETS = (26, 26, 10, 33, 100)
+BRUTE = [math.log2(max(1, sum(n for k, n in enumerate(ALPHABETS) if used >> k & 1))) for used in range(1 << len(ALPHABETS))]
 
 
 def _neighbours() -> set[str]:
@@ -72,6 +75,13 @@ def _neighbours() -> set[str]:
 NEAR = _neighbours()
 
 
+def alphabet(c: str) -> int:
+    """The bit of the alphabet of ``c``."""
+    if not c.isascii():
+        return 16
+    return 1 if c.islower() else 2 if c.isupper() else 4 if c.isdigit() else 8
+
+
 def guess_bits(value: str) -> float:
     """Base-two logarithm of the guesses that the cheapest segmentation of ``value`` needs."""
     n = len(value)
@@ -80,6 +90,13 @@ def guess_bits(value: str) -> float:
         lower = value
     plain = lower.translate(LEET)
     best = [0.0] + [math.inf] * n
+    # by alphabets, the cheapest way that ends in a brute-force span; spans do not adjoin, as they would be one
+    own_alphabet = [alphabet(c) for c in value]
+    used = 0
+    for k in set(own_alphabet):
+        used |= k
+    brute = {k: math.inf for k in range(1, used + 1) if k & ~used == 0}
+    ended = 0.0  # the cheapest way to the place before that does not end in such a span
     dates: dict[int, list[int]] = {}
     for i in range(n):
         if lower[i].isdigit() and (m := DATES.match(lower, i)):
@@ -97,7 +114,9 @@ def guess_bits(value: str) -> float:
         if lower[i - 1 : i + 1] in NEAR:
             walk[i] = walk[i - 1] + 1
     for j in range(1, n + 1):
-        cost = best[j - 1] + BRUTE
+        for k, before in brute.items():
+            brute[k] = min(before, ended) + BRUTE[k] if k & own_alphabet[j - 1] else math.inf
+        cost = math.inf
         for i in range(max(0, j - LONGEST), j - 2):
             for form, extra in ((lower, 0.0), (plain, 2.0)):
                 if rank := RANK.get(form[i:j]):
@@ -107,10 +126,11 @@ def guess_bits(value: str) -> float:
                     break
         for i in dates.get(j, ()):
             cost = min(cost, best[i] + (7.0 if j - i == 4 else 16.0))
-        for runs, base in ((same, BRUTE), (step, 4.0), (walk, 5.0)):
+        for runs, base in ((same, BRUTE[own_alphabet[j - 1]]), (step, 4.0), (walk, 5.0)):
             if (k := runs[j - 1]) >= 3:
                 cost = min(cost, best[j - k] + base + math.log2(k) * (1 if runs is same else 2) + 1)
-        best[j] = cost
+        ended = cost
+        best[j] = min(cost, *brute.values())
     # a block that is repeated throughout costs its own guesses and the count
     for size in range(1, min(n // 2, 32) + 1):
         if n % size == 0 and value == value[:size] * (n // size):

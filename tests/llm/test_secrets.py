@@ -45,3 +45,25 @@ def test_query_and_redaction(spark, tmp_path):
     assert {(r.doc_id, r.n_assign, r.n_access, r.n_hex) for r in got} == {(1, 0, 0, 0), (2, 0, 0, 0), (3, 1, 0, 0), (4, 0, 1, 0), (None, 0, 0, 1)}
     clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
     assert clean[4] == "ü [SECRET]" and clean[1] is None and clean[None] == "[SECRET]"
+
+
+def test_random_values_of_six_to_nine_characters():
+    rnd = random.Random(5)
+    every = "".join(map(chr, range(35, 127))).translate({ord(c): None for c in "<>;,&|(){}'\""})
+    kinds = {6: [every], 7: [every], 8: [every, "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz0123456789"], 9: [every]}
+    for n, alphabets in kinds.items():
+        for alphabet in alphabets:
+            found = 0
+            for _ in range(200):
+                value = "".join(rnd.choice(alphabet) for _ in range(n))
+                found += secrets.guess_bits(value) >= secrets.GUESS_BITS
+            assert found >= 0.9 * 200, (n, alphabet, found)
+    for value in ("monkey", "dragon1", "Welcome1", "passw0rd", "changeme!", "Summer19", "qwerty12", "12345678", "aaaaaaa", "20190412"):
+        assert secrets.guess_bits(value) < secrets.GUESS_BITS, value
+    text = 'password: "xK9#mQ2v!"'
+    assert secrets.spans(text)[1] == [(11, 20, "guess")]
+
+
+def test_long_values_take_time_in_proportion():
+    rnd = random.Random(6)
+    assert secrets.guess_bits("".join(rnd.choice("abcXYZ019+/") for _ in range(30_000))) > 1000
