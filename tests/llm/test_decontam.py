@@ -149,3 +149,22 @@ def test_search_loses_nothing_against_brute_force():
     got = {(d, i): far for d, i, far, _, _ in decontam.matches(items, np.frombuffer("".join(docs).encode(), np.uint8), off)}
     want = {(d, i): far for d, b in enumerate(docs) for i, p in enumerate(texts) if (far := edit(p.encode(), fold(b))) <= int(0.2 * len(p) + 1e-9)}
     assert got == want
+
+
+def test_random_edits_are_all_found_at_every_length():
+    rnd = random.Random(31)
+    letters = "aeinorst "
+    texts = [" ".join("".join(rnd.choice(letters) for _ in range(n)).split()) for n in (100, 200, 400, 1500, 4000)]
+    items = decontam.Items(list(enumerate(texts)))
+    docs, known = [], []
+    for k, t in enumerate(texts):
+        for share in (0.1, 0.18):
+            for _ in range(12):
+                edited = list(t)
+                for at in rnd.sample(range(len(t)), int(share * len(t))):
+                    edited[at] = rnd.choice(["", rnd.choice("bcd"), edited[at] + rnd.choice("bcd")])
+                docs.append("".join(edited))
+                known.append((len(docs) - 1, k))
+    off = np.cumsum([0] + [len(d) for d in docs])
+    got = {(d, i) for d, i, _, _, _ in decontam.matches(items, np.frombuffer("".join(docs).encode(), np.uint8), off)}
+    assert set(known) <= got
