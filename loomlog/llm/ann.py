@@ -6,15 +6,20 @@ deterministic sample (``SAMPLE`` rows).  Every vector is then encoded by beam
 search over the codebooks: inner products with all codewords and the codebooks'
 Gram matrix are enough to follow ``BEAM`` partial sums exactly.  Beside its
 codes a row stores the ratio of its own norm to that of its approximation,
-which takes the shrinkage of quantisation out of the score.
+which takes the shrinkage of quantisation out of the score, and the norm of
+what the scaled approximation still misses.
 
 A search scores blocks of rows against blocks of queries through lookup tables
-(one inner product for each codeword), takes the ``RERANK`` best distinct
-vectors of each block for each query, scores those exactly in double precision
-and keeps the k best.  Equal vectors of a block are one candidate with its
-smallest ids, so a vector that fills a third of the table cannot crowd out
-others.  Queries are broadcast in passes of at most ``QUERY_BLOCK`` rows; each
-pass reads the index once and shuffles k rows for each task and query.
+(one inner product for each codeword).  A score is off by the inner product of
+query and missing part, which has a standard deviation of about their norms'
+product over the root of the dimension.  Every row that could be among the k
+best within ``MARGIN`` deviations is scored exactly in double precision: no
+fixed number of candidates is kept.  With ``exact`` the margin is the norms'
+product itself, which the error never exceeds, and no neighbour is lost.
+Equal vectors of a block are one candidate with its smallest ids, so a vector
+that fills a third of the table cannot crowd out others.  Queries are broadcast
+in passes of at most ``QUERY_BLOCK`` rows; each pass reads the index once and
+shuffles k rows for each task and query.
 
 Cases: vectors that are null, zero, or hold null or non-finite components,
 rows without an id and vectors of another length than the most frequent one
@@ -32,10 +37,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BOOKS, WORDS, BEAM = 8, 128, 4
+BOOKS, WORDS, BEAM = 16, 128, 4
 SAMPLE, ROUNDS = 8192, 6
-RERANK = 96
-BLOCK_ROWS, BLOCK_QUERIES, QUERY_BLOCK = 4096, 256, 65536
+MARGIN = 2.0
+PAIRS = 32768  # rows that are scored exactly at once
+BLOCK_ROWS, BLOCK_QUERIES, QUERY_BLOCK = 4096, 64, 65536
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -73,8 +79,8 @@ def fit(sample: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int
     return np.stack(out)
 
 
-def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (n, books) and the ratio of each norm to its approximation's."""
+def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes (n, books), the ratio of each norm to its approximation's, and the norm of what that misses."""
     m, k, d = books.shape
     flat = books.reshape(m * k, d)
     gram = flat @ flat.T
@@ -97,17 +103,18 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
     codes = codes[np.arange(n), np.argmin(cost, axis=1)]
     approx = books[np.arange(m)[None, :], codes].sum(1)
     ratio = np.linalg.norm(x, axis=1) / np.maximum(np.linalg.norm(approx, axis=1), 1e-12)
-    return codes.astype(np.uint8), ratio.astype(np.float32)
+    missing = np.linalg.norm(x - ratio[:, None] * approx, axis=1)
+    return codes.astype(np.uint8), ratio.astype(np.float32), missing.astype(np.float32)
 
 
 def index(vectors: DataFrame, books: int = BOOKS, words: int = WORDS, sample: int = SAMPLE) -> tuple[DataFrame, np.ndarray]:
-    """The materialised index (vec_id, v, codes, ratio) of every valid row, and its codebooks."""
+    """The materialised index (vec_id, v, codes, ratio, missing) of every valid row, and its codebooks."""
     if words > 256:
         raise ValueError("codes are bytes: 256 words at most")
     rows = valid(vectors)
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow().column(0).combine_chunks()
     if not len(drawn):
-        return rows.select("vec_id", "v", F.lit(b"").alias("codes"), F.lit(1.0).cast("float").alias("ratio")), np.zeros((books, 1, 1), np.float32)
+        return rows.select("vec_id", "v", F.lit(b"").alias("codes"), F.lit(1.0).cast("float").alias("ratio"), F.lit(0.0).cast("float").alias("missing")), np.zeros((books, 1, 1), np.float32)
     codebooks = fit(_matrix(drawn), books, words)
     shared = rows.sparkSession.sparkContext.broadcast(codebooks)
 
@@ -115,11 +122,11 @@ def index(vectors: DataFrame, books: int = BOOKS, words: int = WORDS, sample: in
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                codes, ratio = encode(_matrix(part.column(1)), shared.value)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio)], ["vec_id", "v", "codes", "ratio"])
+                codes, ratio, missing = encode(_matrix(part.column(1)), shared.value)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio), pa.array(missing)], ["vec_id", "v", "codes", "ratio", "missing"])
 
     kind = rows.schema["v"].dataType.simpleString()
-    return common.cut(rows.mapInArrow(run, f"vec_id long, v {kind}, codes binary, ratio float")), codebooks
+    return common.cut(rows.mapInArrow(run, f"vec_id long, v {kind}, codes binary, ratio float, missing float")), codebooks
 
 
 class _Best:
@@ -139,9 +146,9 @@ class _Best:
         self.score[at], self.id[at] = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def _score_block(best: _Best, ids, x, codes, ratio, books, query_ids, queries, rerank: int) -> None:
+def _score_block(best: _Best, ids, x, codes, ratio, missing, books, query_ids, queries, margin: float) -> None:
     order = np.argsort(ids, kind="stable")
-    ids, x, codes, ratio = ids[order], x[order], codes[order], ratio[order]
+    ids, x, codes, ratio, missing = ids[order], x[order], codes[order], ratio[order], missing[order]
     raw = np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
     _, first, inverse = np.unique(raw, return_index=True, return_inverse=True)
     rank = np.argsort(np.argsort(first))[inverse]  # distinct vectors in order of their smallest id
@@ -153,28 +160,45 @@ def _score_block(best: _Best, ids, x, codes, ratio, books, query_ids, queries, r
     nth = np.arange(len(by)) - starts[rank[by]]
     few = nth < width
     table[rank[by][few], nth[few]] = ids[by][few]
-    wide, codes, ratio = x[reps].astype(np.float64), codes[reps], ratio[reps]
-    take = min(rerank, len(reps))
-    top = min(best.k + 1, take)
+    wide, codes, ratio = x[reps].astype(np.float64), codes[reps].T.astype(np.intp), ratio[reps]
+    single = x[reps].astype(np.float32)
+    slack = (margin * missing[reps] + 1e-5).astype(np.float32)
+    top = min(best.k + 1, len(reps))
     for lo in range(0, len(queries), BLOCK_QUERIES):
         at = slice(lo, min(lo + BLOCK_QUERIES, len(queries)))
         q = queries[at]
-        approx = np.zeros((len(q), len(reps)), np.float32)
+        size = np.linalg.norm(q, axis=1)
+        approx, part = np.zeros((len(reps), len(q)), np.float32), np.empty((len(reps), len(q)), np.float32)
         for level in range(len(books)):
-            approx += np.take(q.astype(np.float32) @ books[level].T, codes[:, level], axis=1)
-        approx *= ratio[None, :]
-        found = np.sort(np.argpartition(-approx, take - 1, axis=1)[:, :take], axis=1) if take < len(reps) else np.broadcast_to(np.arange(take), (len(q), take))
-        exact = np.einsum("qd,qrd->qr", q, wide[found])
-        chosen = np.argsort(-exact, axis=1, kind="stable")[:, :top]
-        score, own = np.take_along_axis(exact, chosen, 1), table[np.take_along_axis(found, chosen, 1)]
-        score = np.repeat(score, width, axis=1)
-        own = own.reshape(len(q), -1)
+            approx += np.take(books[level] @ q.T.astype(np.float32), codes[level], axis=0, out=part, mode="clip")
+        approx *= ratio[:, None]
+        least = best.score[at, -1]
+        if top > best.k:  # the k + 1 best of those that look best bound what a row must reach; one of them may be the query itself
+            n = min(len(reps), 4 * top)
+            sure = np.argpartition(-approx, n - 1, axis=0)[:n].T if n < len(reps) else np.broadcast_to(np.arange(n), (len(q), n))
+            close = np.matmul(single[sure], q.astype(np.float32)[:, :, None])[:, :, 0]
+            least = np.maximum(least, np.partition(close, n - top, axis=1)[:, n - top])
+        ri, qi = np.nonzero(approx + slack[:, None] * size[None, :].astype(np.float32) >= (least - 1e-5 * size).astype(np.float32)[None, :])
+        exact = np.empty(len(qi))
+        for a in range(0, len(qi), PAIRS):
+            own = slice(a, a + PAIRS)
+            exact[own] = np.einsum("nd,nd->n", q[qi[own]], wide[ri[own]])
+        order = np.lexsort((ri, -exact, qi))
+        qi, ri, exact = qi[order], ri[order], exact[order]
+        nth = np.arange(len(qi)) - np.searchsorted(qi, np.arange(len(q)))[qi]
+        few = nth < top
+        score = np.full((len(q), top, width), -np.inf)
+        own = np.full((len(q), top, width), np.iinfo(np.int64).max)
+        score[qi[few], nth[few]] = exact[few][:, None]
+        own[qi[few], nth[few]] = table[ri[few]]
+        score, own = score.reshape(len(q), -1), own.reshape(len(q), -1)
         score = np.where((own == query_ids[at][:, None]) | (own == np.iinfo(np.int64).max), -np.inf, score)
         best.add(at, score, own)
 
 
-def search(index_rows: DataFrame, books: np.ndarray, queries: DataFrame, k: int = 20, rerank: int = RERANK) -> DataFrame:
+def search(index_rows: DataFrame, books: np.ndarray, queries: DataFrame, k: int = 20, margin: float = MARGIN, exact: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows to each of ``queries`` (vec_id, v)."""
+    margin = 1.0 if exact else margin / np.sqrt(books.shape[2])
     spark = index_rows.sparkSession
     n = queries.count()
     passes = max(1, -(-n // (QUERY_BLOCK // 2)))
@@ -185,7 +209,7 @@ def search(index_rows: DataFrame, books: np.ndarray, queries: DataFrame, k: int
             continue
         ids, at = np.unique(own.column("vec_id").to_numpy(), return_index=True)
         vectors = _matrix(own.column("v").combine_chunks())[at].astype(np.float64)
-        parts.append(_pass(index_rows, spark.sparkContext.broadcast((books, ids, vectors)), k, rerank))
+        parts.append(_pass(index_rows, spark.sparkContext.broadcast((books, ids, vectors)), k, margin))
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     out = parts[0]
@@ -196,7 +220,7 @@ def search(index_rows: DataFrame, books: np.ndarray, queries: DataFrame, k: int
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _pass(index_rows: DataFrame, shared, k: int, rerank: int) -> DataFrame:
+def _pass(index_rows: DataFrame, shared, k: int, margin: float) -> DataFrame:
     def run(batches):
         books, query_ids, queries = shared.value
         best = _Best(len(queries), k)
@@ -204,13 +228,13 @@ def _pass(index_rows: DataFrame, shared, k: int, rerank: int) -> DataFrame:
             for at in range(0, b.num_rows, BLOCK_ROWS):
                 part = b.slice(at, BLOCK_ROWS)
                 codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                _score_block(best, part.column(0).to_numpy(), _matrix(part.column(1)), codes, part.column(3).to_numpy(), books, query_ids, queries, rerank)
+                _score_block(best, part.column(0).to_numpy(), _matrix(part.column(1)), codes, part.column(3).to_numpy(), part.column(4).to_numpy(), books, query_ids, queries, margin)
         q, r = np.nonzero(np.isfinite(best.score))
         for at in range(0, len(q), 1 << 18):
             a, c = q[at : at + (1 << 18)], r[at : at + (1 << 18)]
             yield pa.RecordBatch.from_arrays([pa.array(query_ids[a]), pa.array(best.id[a, c]), pa.array(best.score[a, c])], ["query_id", "vec_id", "score"])
 
-    return index_rows.select("vec_id", "v", "codes", "ratio").mapInArrow(run, "query_id long, vec_id long, score double")
+    return index_rows.select("vec_id", "v", "codes", "ratio", "missing").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def query(spark, sf_dir):

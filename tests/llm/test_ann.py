@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+
 from loomlog.llm import ann
 
 
@@ -56,7 +58,45 @@ def test_beam_is_at_least_as_good_as_greedy():
     books = ann.fit(x, 4, 16)
 
     def error(beam):
-        codes, _ = ann.encode(x, books, beam)
+        codes, _, _ = ann.encode(x, books, beam)
         return ((x - books[np.arange(4)[None, :], codes].sum(1)) ** 2).sum()
 
     assert error(8) < error(1)
+
+
+def made(n, d=64):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(n, d)).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def neighbours(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    return out
+
+
+def recall(ids, x, got, k=20):
+    hit = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x.astype(np.float64) @ x[q].astype(np.float64)
+        s[q] = -np.inf
+        best = set(ids[np.lexsort((ids, -s))[:k]].tolist())
+        hit, total = hit + len(best & {i for _, i in got[int(ids[q])]}), total + len(best)
+    return hit / total
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_given_table_against_a_full_scan(spark, sf):
+    t = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").toPandas()
+    assert recall(t.vec_id.to_numpy(), np.stack(t.embedding), neighbours(ann.query(spark, f"/root/testdata/{sf}"))) >= 0.97
+
+
+def test_recall_without_any_structure_and_exact_mode(spark):
+    x = made(3000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    index, books = ann.index(df)
+    queries = index.where("vec_id % 20 = 0")
+    assert recall(np.arange(3000), x, neighbours(ann.search(index, books, queries))) >= 0.95
+    assert recall(np.arange(3000), x, neighbours(ann.search(index, books, queries, exact=True))) == 1.0
