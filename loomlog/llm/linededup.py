@@ -9,7 +9,8 @@ The first place of a window is a minimum, aggregated before the shuffle, so a
 window that stands in a third of all documents costs a row for each task.
 
 Cases: texts of fewer than three lines have no window and stay as they are; a
-null text has no lines and stays null; lines are compared as they stand, blank
+null text has no lines and stays null; very long texts are processed whole, in
+time and memory linear in their length; lines are compared as they stand, blank
 ones included; repeated rows of one ``doc_id`` with equal texts count as one
 document, and texts that differ under one ``doc_id`` are told apart by their
 hash; null ids sort first.  All columns are kept; names that clash with the
@@ -59,13 +60,16 @@ def dedup(docs: DataFrame, lines: int = LINES) -> DataFrame:
     late = later_windows(docs, lines)
     own = docs.select(*docs.columns, *_key())
     joined = own.join(late, ["_doc", "_th"], "left")
-    all_lines = F.split("text", "\n", -1)
-    covered = F.array_distinct(F.flatten(F.transform("_gone", lambda p: F.sequence(p, p + lines - 1))))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), covered), lambda i: F.get(all_lines, i))
+    # the one-row generator makes the lines and the covered places once for each text, however often they are read
+    late_lines = F.when(F.col("_gone").isNotNull(), F.split("text", "\n", -1))
+    late_places = F.array_distinct(F.flatten(F.transform("_gone", lambda p: F.sequence(p, p + lines - 1))))
+    once = joined.select("*", F.explode(F.array(F.struct(late_lines.alias("x"), late_places.alias("c")))).alias("_o"))
+    once = once.select("*", F.col("_o.x").alias("_x"), F.col("_o.c").alias("_c"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_x") - 1), F.col("_c")), lambda i: F.get("_x", i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n_lines = F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")) + 1, F.lit(0)).cast("long")
     columns = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return joined.select(*columns, n_lines.alias("_n_lines"), F.coalesce(F.size(covered), F.lit(0)).cast("long").alias("_n_removed"))
+    return once.select(*columns, n_lines.alias("_n_lines"), F.coalesce(F.size("_c"), F.lit(0)).cast("long").alias("_n_removed"))
 
 
 def query(spark, sf_dir):

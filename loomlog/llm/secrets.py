@@ -58,7 +58,15 @@ RANK = {w: i + 1 for i, w in reversed(list(enumerate(COMMON)))}
 LONGEST = max(map(len, RANK))
 LEET = str.maketrans("4@831!05$7+", "aabelioss" + "tt")
 WALKS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "1qaz", "2wsx", "3edc", "4rfv", "5tgb", "6yhn", "7ujm", "8ik,", "9ol.", "0p;/")
-DATES = re.compile(r"(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
+#: Forms of dates (year first, year last, a year alone), of YEAR to LONGEST_DATE characters.
+DATES = tuple(map(re.compile, (
+    r"(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])",
+    r"(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d",
+    r"(?:19|20)\d\d",
+)))
+YEAR, LONGEST_DATE = 4, 10
+#: Characters that a repeat, a sequence or a keyboard walk has at least.
+RUN = 3
 #: Characters of a brute-force span cost by the alphabets that the span uses: a-z, A-Z, 0-9, other ASCII, all else.
 ALPHABETS = (26, 26, 10, 33, 100)
 BRUTE = [math.log2(max(1, sum(n for k, n in enumerate(ALPHABETS) if used >> k & 1))) for used in range(1 << len(ALPHABETS))]
@@ -99,8 +107,10 @@ def guess_bits(value: str) -> float:
     ended = 0.0  # the cheapest way to the place before that does not end in such a span
     dates: dict[int, list[int]] = {}
     for i in range(n):
-        if lower[i].isdigit() and (m := DATES.match(lower, i)):
-            dates.setdefault(m.end(), []).append(i)
+        if lower[i].isdigit():
+            for end in range(i + YEAR, min(n, i + LONGEST_DATE) + 1):
+                if any(form.fullmatch(lower, i, end) for form in DATES):
+                    dates.setdefault(end, []).append(i)
     # lengths of the runs that end at each place
     same = [1] * n
     step = [1] * n
@@ -113,6 +123,8 @@ def guess_bits(value: str) -> float:
             step[i] = step[i - 1] + 1 if step[i - 1] > 1 and ord(lower[i - 1]) - ord(lower[i - 2]) == d else 2
         if lower[i - 1 : i + 1] in NEAR:
             walk[i] = walk[i - 1] + 1
+    # kinds of runs: their lengths, what a length costs, and the starts from which the run to here may be cheapest
+    kinds = ((same, 1, []), (step, 2, []), (walk, 2, []))
     for j in range(1, n + 1):
         for k, before in brute.items():
             brute[k] = min(before, ended) + BRUTE[k] if k & own_alphabet[j - 1] else math.inf
@@ -122,20 +134,23 @@ def guess_bits(value: str) -> float:
                 if rank := RANK.get(form[i:j]):
                     own = value[i:j]
                     case = 0.0 if own == lower[i:j] else 1.0 if own[0].isupper() and own[1:] == lower[i + 1 : j] else 3.0
-                    cost = min(cost, best[i] + 1 + math.log2(rank + 1) + case + (extra if form is plain and form[i:j] != lower[i:j] else 0.0))
-                    break
+                    cost = min(cost, best[i] + 1 + math.log2(rank + 1) + case + (extra if form[i:j] != lower[i:j] else 0.0))
         for i in dates.get(j, ()):
-            cost = min(cost, best[i] + (7.0 if j - i == 4 else 16.0))
-        for runs, base in ((same, BRUTE[own_alphabet[j - 1]]), (step, 4.0), (walk, 5.0)):
-            if (k := runs[j - 1]) >= 3:
-                cost = min(cost, best[j - k] + base + math.log2(k) * (1 if runs is same else 2) + 1)
+            cost = min(cost, best[i] + (7.0 if j - i == YEAR else 16.0))
+        for (runs, weight, starts), base in zip(kinds, (BRUTE[own_alphabet[j - 1]], 4.0, 5.0), strict=True):
+            if runs[j - 1] < RUN:
+                starts.clear()
+                continue
+            i = j - RUN  # an earlier start that is no dearer here stays so, as logarithms draw together
+            if all(best[s] + weight * math.log2(j - s) > best[i] + weight * math.log2(RUN) for s in starts):
+                starts[:] = [s for s in starts if best[s] < best[i]] + [i]
+            cost = min(cost, base + 1 + min(best[s] + weight * math.log2(j - s) for s in starts))
         ended = cost
         best[j] = min(cost, *brute.values())
     # a block that is repeated throughout costs its own guesses and the count
-    for size in range(1, min(n // 2, 32) + 1):
-        if n % size == 0 and value == value[:size] * (n // size):
-            return min(best[n], best[size] + math.log2(n // size) + 1)
-    return best[n]
+    period = (value + value).find(value, 1) if n else 0
+    sizes = range(period, n // 2 + 1, period) if period else ()
+    return min([best[n], *(best[size] + math.log2(n // size) + 1 for size in sizes if n % size == 0)])
 
 
 def base_spans(text: str, low: str | None = None) -> list[tuple[int, int, str]]:

@@ -44,3 +44,10 @@ def test_repeated_rows_null_ids_and_empty(spark):
     got = sorted((r.doc_id or -1, r.text) for r in linededup.dedup(df).collect())
     assert got == [(-1, t), (1, ""), (1, ""), (2, "z")]
     assert linededup.dedup(df.limit(0)).count() == 0
+
+
+def test_a_text_of_many_lines_takes_linear_time(spark):
+    once = [f"line {i}" for i in range(200_000)]
+    df = spark.createDataFrame([(1, "\n".join(once + once[:100_000]))], "doc_id long, text string")
+    r = linededup.dedup(df).first()  # minutes would pass if lines were found by splitting the text for each
+    assert (r.text, r._n_lines, r._n_removed) == ("\n".join(once), 300_000, 100_000)

@@ -1,4 +1,6 @@
+import functools
 import hashlib
+import math
 import random
 import re
 
@@ -67,3 +69,77 @@ def test_random_values_of_six_to_nine_characters():
 def test_long_values_take_time_in_proportion():
     rnd = random.Random(6)
     assert secrets.guess_bits("".join(rnd.choice("abcXYZ019+/") for _ in range(30_000))) > 1000
+
+
+def segment_cost(value, a, b):
+    """The cheapest rating of value[a:b] as one segment other than brute force, by definition."""
+    own, low = value[a:b], value[a:b].lower()
+    n, costs = b - a, []
+    for form, extra in ((low, 0.0), (low.translate(secrets.LEET), 2.0)):
+        if form in secrets.RANK and n >= 3:
+            case = 0.0 if own == low else 1.0 if own[0].isupper() and own[1:] == low[1:] else 3.0
+            costs.append(1 + math.log2(secrets.RANK[form] + 1) + case + (extra if form != low else 0.0))
+    if any(f.fullmatch(low) for f in secrets.DATES):
+        costs.append(7.0 if n == 4 else 16.0)
+    if n >= 3:
+        pairs = list(zip(low, low[1:], strict=False))
+        if len(set(low)) == 1:
+            costs.append(secrets.BRUTE[secrets.alphabet(own[-1])] + math.log2(n) + 1)
+        if {ord(y) - ord(x) for x, y in pairs} in ({1}, {-1}):
+            costs.append(4 + 2 * math.log2(n) + 1)
+        if all(x + y in secrets.NEAR for x, y in pairs):
+            costs.append(5 + 2 * math.log2(n) + 1)
+    return min(costs, default=math.inf)
+
+
+def exhaustive(value):
+    """The least cost over all segmentations, each segment brute force or not."""
+
+    @functools.cache
+    def rest(a, after_brute):
+        if a == len(value):
+            return 0.0
+        found = []
+        for b in range(a + 1, len(value) + 1):
+            found.append(segment_cost(value, a, b) + rest(b, False))
+            if not after_brute:
+                used = functools.reduce(lambda x, c: x | secrets.alphabet(c), value[a:b], 0)
+                found.append((b - a) * secrets.BRUTE[used] + rest(b, True))
+        return min(found)
+
+    n, costs = len(value), [rest(0, False)]
+    for size in range(1, n // 2 + 1):
+        if n % size == 0 and value == value[:size] * (n // size):
+            costs.append(exhaustive_once(value[:size]) + math.log2(n // size) + 1)
+    return min(costs)
+
+
+def exhaustive_once(block):
+    """The least cost of one block, which is not itself seen as repeated."""
+    return secrets.guess_bits(block) if len(block) < 2 or (block + block).find(block, 1) == len(block) else min_segments(block)
+
+
+def min_segments(value):
+    best = [(0.0, math.inf)] + [(math.inf, math.inf)] * len(value)  # ends in another segment, in brute force
+    for b in range(1, len(value) + 1):
+        other = min(min(best[a]) + segment_cost(value, a, b) for a in range(b))
+        force = min(best[a][0] + (b - a) * secrets.BRUTE[functools.reduce(lambda x, c: x | secrets.alphabet(c), value[a:b], 0)] for a in range(b))
+        best[b] = other, force
+    return min(best[-1])
+
+
+def test_dynamic_programming_against_all_segmentations():
+    rnd = random.Random(8)
+    parts = ["password", "pass", "p4ss", "the", "year", "qwe", "asdf", "aaa", "ddd", "abc", "321", "2019", "1.2.1999", "19990102", "x", "K", "7", "#", "é", "12", "monkey"]
+    for _ in range(250):
+        value = "".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 5)))
+        value *= rnd.choice((1, 1, 1, 2, 3))
+        assert math.isclose(secrets.guess_bits(value), exhaustive(value), abs_tol=1e-9), value
+
+
+def test_repeats_of_any_block_and_every_date():
+    rnd = random.Random(9)
+    block = "".join(rnd.choice("abcdefgh") for _ in range(60))
+    assert math.isclose(secrets.guess_bits(block * 4), secrets.guess_bits(block) + 3)
+    assert secrets.guess_bits("1999112the") < secrets.guess_bits("1999112") + 8  # 1999-11-2, and not only 1999-1-12
+    assert secrets.guess_bits("passwordddd") < 20
