@@ -2,10 +2,16 @@
 
 A 64-bit fingerprint is the bitwise majority over the XXH64 hashes (seed 42)
 of a text's word shingles.  Two fingerprints are linked at ``radius`` (4) or
-fewer differing bits.  The fingerprint is cut into three segments; if all
-segments differed by more than their share (1, 1, 0) of the radius, the whole
-would differ by 5 at least, so enumerating the Hamming balls of radius 1, 1
-and 0 around the segments and looking them up finds every link.
+fewer differing bits.  The fingerprint is cut into m segments; if all segments
+differed by more than their shares of the radius, and the shares sum to
+radius - m + 1, the whole would differ by more than the radius, so enumerating
+the Hamming balls of these shares around the segments and looking them up finds
+every link.  ``segments`` chooses the fewest rows for the number of
+fingerprints: three segments with shares 1, 1 and 0 at first, two long ones with
+shares 2 and 1 from some hundred million on.
+
+``dedup`` removes near-duplicates by the shingles' Jaccard similarity with a
+longer fingerprint of the same kind (``near``).
 
 Only distinct fingerprints are compared.  Buckets of a segment value with up
 to ``WIDE`` fingerprints are joined directly.  Wider buckets are dealt out in
@@ -22,16 +28,17 @@ an empty table gives an empty result.  Other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, near
 
-#: First bit, width and ball radius of each segment.
-SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
 WIDE = 32
 BLOCK = 1024
 
@@ -69,15 +76,29 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _keys(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
+def segments(n: int, radius: int = 4) -> tuple[tuple[int, int, int], ...]:
+    """First bit, width and ball radius of each segment: the cut with the fewest probes and chance meetings for ``n`` fingerprints."""
+    found = []
+    for m in range(1, radius + 2):
+        edges = [64 * k // m for k in range(m + 1)]
+        shares = [(radius - m + 1) // m + (k < (radius - m + 1) % m) for k in range(m)]
+        balls = [sum(math.comb(b - a, r) for r in range(share + 1)) for a, b, share in zip(edges, edges[1:], shares, strict=False)]
+        cost = sum(ball * (1 + n / 2 ** (b - a)) for a, b, ball in zip(edges, edges[1:], balls, strict=False))
+        found.append((cost, tuple((a, b - a, share) for a, b, share in zip(edges, edges[1:], shares, strict=False))))
+    return min(found)[1]
+
+
+def _ball(value: Column, width: int, radius: int) -> list[Column]:
+    return [value.bitwiseXOR(F.lit(sum(1 << i for i in bits))) for r in range(radius + 1) for bits in itertools.combinations(range(width), r)]
+
+
+def _keys(fps: DataFrame, cut: tuple[tuple[int, int, int], ...]) -> tuple[DataFrame, DataFrame]:
     """Table entries (key, fp) and probes (key, fp) of all segments; a key holds segment number and value."""
     tables, probes = [], []
-    for number, (low, width, radius) in enumerate(SEGMENTS):
-        value = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(number << 32)
+    for number, (low, width, radius) in enumerate(cut):
+        value = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(number << 40)
         tables.append(value)
-        probes.append(value)
-        if radius:
-            probes += [value.bitwiseXOR(F.lit(1 << i)) for i in range(width)]
+        probes += _ball(value, width, radius)
     return fps.select(F.explode(F.array(*tables)).alias("key"), "fp"), fps.select(F.explode(F.array(*probes)).alias("key"), "fp")
 
 
@@ -110,9 +131,7 @@ def _forest(table: np.ndarray, probe: np.ndarray, radius: int) -> tuple[list[int
 
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Links (u, v) between distinct fingerprints ``fps(fp)``: all of narrow buckets, a spanning forest of wide ones."""
-    if radius > 4:
-        raise ValueError("the segments' balls cover at most 4 differing bits")
-    table, probe = _keys(fps)
+    table, probe = _keys(fps, segments(fps.count(), radius))
     wide = common.cut(table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > WIDE))
     t = table.join(wide.select("key"), "key", "left_anti")
     p = probe.withColumnRenamed("fp", "pf")
@@ -147,14 +166,9 @@ def components(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def dedup(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component; all columns are kept.
-
-    Rows that repeat a kept id are kept with it; a row without an id is
-    kept if its component has no id at all.
-    """
-    c = components(docs, shingle, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(c, docs["doc_id"].cast("long").eqNullSafe(c["_keep"]), "left_semi")
+def dedup(docs: DataFrame, words: int = near.WORDS, similarity: float = near.SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: see ``near``."""
+    return near.dedup(docs, words, similarity)
 
 
 def query(spark, sf_dir):

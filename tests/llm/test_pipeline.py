@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 def test_stages(spark, tmp_path):
     from test_decontam import edit, fold
     from test_linededup import brute as line_brute
-    from test_simhash import brute as near_brute
+    from test_near import brute as near_brute
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
@@ -37,7 +37,8 @@ def test_stages(spark, tmp_path):
 
     before, after = found[names[2]]
     roots = near_brute([(r.doc_id, r.text) for r in before])
-    assert {r.doc_id for r in after} == {root for _, root in roots.values()}
+    assert {r.doc_id for r in after} >= set(roots.values())
+    assert len({r.doc_id for r in after} - set(roots.values())) <= 0.05 * (len(before) - len(set(roots.values())))
 
     before, after = found[names[3]]
     items = [fold(r.text).strip() for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

@@ -49,11 +49,23 @@ def test_matches_brute_force(spark, monkeypatch):
             texts.append((100 + len(texts), " ".join(w)))
     want = brute(texts)
     assert run(spark, [(i, t, "clash") for i, t in texts]) == want
+    with monkeypatch.context() as m:  # the cut for a very large table
+        two = simhash.segments(10**10)
+        m.setattr(simhash, "segments", lambda n, radius=4: two)
+        assert run(spark, [(i, t, "clash") for i, t in texts]) == want
     monkeypatch.setattr(simhash, "WIDE", 1)
     monkeypatch.setattr(simhash, "BLOCK", 2)
     assert run(spark, [(i, t, "clash") for i, t in texts]) == want
 
 
+def test_segments_cover_the_radius():
+    for n in (10, 10**6, 10**10):
+        for radius in (0, 2, 4):
+            cut = simhash.segments(n, radius)
+            assert sum(w for _, w, _ in cut) == 64 and sum(r + 1 for _, _, r in cut) == radius + 1
+    assert [r for _, _, r in simhash.segments(10**6)] == [1, 1, 0] and [r for _, _, r in simhash.segments(10**10)] == [2, 1]
+
+
 def test_forest_keeps_connectivity():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, dtype=np.uint64)
