@@ -15,11 +15,20 @@ Jaccard similarity of ``SIMILARITY`` or more; groups are connected components.
    classes whose segment has odd parity enumerate their ball, and every pair
    still meets, at half the rows.  Radius 2 probes the ball of radius 1 from
    both sides.
-4. Pairs that meet and differ in at most ``most_bits`` of the compared word
-   are verified on their whole shingle sets.  Buckets of more than ``WIDE``
-   classes are dealt out in pairs of blocks, which carry the sets: each pair of
-   blocks verifies all its pairs and sends on a spanning forest of the true
-   links, so no pair is lost and none of a large group's pairs are written.
+4. Everything in a bucket is compared with its smallest and its largest class
+   by id, in one word of 64 bits; where a bucket has two classes, that is all
+   pairs.  A few of each class's partners are verified on the whole shingle
+   sets first; they join the members of a large group of copies, so that later
+   steps skip its pairs.
+5. Classes that meet an outer class in a bucket of more than ``FULL`` rows form
+   families.  A family that is not one component yet is verified whole, in
+   pairs of blocks that carry the sets: each sends on a spanning forest of true
+   links between components, so none of a large group's pairs are written out.
+6. What is left of the pairs, and the pairs of other buckets that step 4 did not
+   compare, are verified between classes of different components and families.
+
+No possible link is left out.  A large family in which many texts are just below
+the similarity costs its blocks' comparisons; memory stays bounded.
 
 Recall is ``RECALL`` or more for a pair just at the similarity, and rises fast
 above it (tests measure both).  Words are separated by ASCII white space, A-Z in
@@ -37,7 +46,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -45,8 +54,11 @@ from . import common
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.97
 #: Stands in for a null id: it comes after all others.
 NO_ID = 2**63 - 1
-WIDE, BLOCK, BLOCK_BYTES = 64, 256, 16_000_000
 SLICE = 16_384  # shingles whose bits are counted at once
+FIRST = 4  # partners of a class that are verified first
+FULL = 32  # rows of a bucket from which its close classes are a family
+BLOCK, BLOCK_BYTES = 512, 32_000_000  # classes and bytes of sets in a block of a family
+SENT = 400_000  # classes whose sets are asked for by a broadcast; more are joined by a shuffle
 _HASH = common.SpanHash(31)
 _ODD = np.random.default_rng(37).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -59,7 +71,7 @@ def bit_error(similarity: float) -> float:
 def plan(classes: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int, int, int]:
     """(segments, width, radius, most_bits): the cheapest that reach the recall for pairs just at the similarity."""
     p = bit_error(similarity)
-    width = min(36, max(8, math.ceil(math.log2(max(2, classes)))))
+    width = min(36, max(8, math.ceil(math.log2(max(2, classes))) + 1))
     most = math.floor(64 * p + 3 * math.sqrt(64 * p * (1 - p)))
     found, inside = [], 0.0
     for radius, rows in ((0, 1), (1, 1 + width / 2), (2, 2 + 2 * width)):
@@ -142,22 +154,20 @@ def described(docs: DataFrame, segments: int, width: int, words: int = WORDS) ->
 
 
 def _rows(classes: DataFrame, width: int, radius: int) -> tuple[DataFrame, DataFrame]:
-    """Table entries and probes (key, id, word)."""
-    own = classes.select(F.explode("_keys").alias("key"), "id", F.col("_word").alias("word"), "_size")
+    """Table entries (key, id, word), and entries with probes."""
+    own = classes.select(F.explode("_keys").alias("key"), "id", F.col("_word").alias("word"))
     flips = F.array(*[F.col("key").bitwiseXOR(F.lit(1 << i).cast("long")) for i in range(width)])
     if radius == 1:  # the odd ones enumerate; values are below 2**40, segment numbers above
         odd = F.bit_count(F.col("key").bitwiseAND(F.lit((1 << 40) - 1))) % 2 == 1
-        ball = own.where(odd).select(F.explode(flips).alias("key"), "id", "word")
-        return own, own.select("key", "id", "word").union(ball)
-    ball = own.select(F.explode(flips).alias("key"), "id", "word", "_size")
-    every = own.union(ball)
-    return every, every.select("key", "id", "word")
+        return own, own.withColumn("entry", F.lit(True)).union(own.where(odd).select(F.explode(flips).alias("key"), "id", "word", F.lit(False)))
+    every = own.union(own.select(F.explode(flips).alias("key"), "id", "word"))
+    return every, every.withColumn("entry", F.lit(True))
 
 
 def sets_of(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
     """(id, set): the packed, sorted shingle hashes of the classes ``needed`` (id, _least, _whole)."""
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_least"), F.col("text").cast("string").alias("_text"))
-    joined = d.join(needed, "_least").select("id", "_whole", "_text")
+    joined = d.join(F.broadcast(needed) if needed.count() <= SENT else needed, "_least").select("id", "_whole", "_text")
 
     def run(batches):
         for b in batches:
@@ -194,59 +204,95 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def block_links(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two lists of sets; places count through both lists."""
-    size = np.array([len(x) for x in left + right], np.float64)
-    owner = np.repeat(np.arange(len(size)), size.astype(np.int64))
-    values, column = np.unique(np.concatenate(left + right), return_inverse=True)
-    shared = np.cumsum(np.bincount(column, minlength=len(values)) > 1)
-    keep = np.bincount(column, minlength=len(values))[column] > 1
-    owner, column = owner[keep], shared[column[keep]] - 1
+def _close(most: int):
+    return lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= most
+
+
+def _ordered(a, b):
+    return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
+
+
+def _meetings(classes: DataFrame, width: int, radius: int, most: int) -> DataFrame:
+    """(key, id, word, entry, n, low, high): rows of buckets with their partners among the two outer classes, if close, and all rows of buckets of three or more."""
+    table, rows = _rows(classes, width, radius)
+    outer = table.groupBy("key").agg(F.min(F.struct("id", "word")).alias("lo"), F.max(F.struct("id", "word")).alias("hi"), F.count("*").alias("n"))
+    close = _close(most)
+    low = F.when((F.col("id") != F.col("lo.id")) & close(F.col("word"), F.col("lo.word")), F.col("lo.id"))
+    high = F.when((F.col("id") != F.col("hi.id")) & (F.col("hi.id") != F.col("lo.id")) & close(F.col("word"), F.col("hi.word")), F.col("hi.id"))
+    return rows.join(outer, "key").where((F.col("n") > 2) | low.isNotNull() | high.isNotNull()).select("key", "id", "word", "entry", "n", low.alias("low"), high.alias("high"))
+
+
+def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, root: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links between places ``left`` and ``right`` that join different ``root``s; all are places in ``sets``."""
+    size = np.array([len(x) for x in sets], np.float64)
+    owner = np.repeat(np.arange(len(sets)), size.astype(np.int64))
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(column, minlength=len(values)) > 1
+    keep = often[column]
+    owner, column = owner[keep], (np.cumsum(often) - 1)[column[keep]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     both = np.zeros((len(left), len(right)), np.float32)
-    for a in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+    for a in range(0, int(often.sum()), 4096):
         lo, hi = np.searchsorted(column, [a, a + 4096])
-        part = np.zeros((len(size), 4096), np.float32)
+        part = np.zeros((len(sets), 4096), np.float32)
         part[owner[lo:hi], column[lo:hi] - a] = 1
-        both += part[: len(left)] @ part[len(left) :].T
-    near = both >= similarity * (size[: len(left), None] + size[None, len(left) :] - both) - 1e-6
-    parent = list(range(len(size)))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
+        both += part[left] @ part[right].T
+    near = (both > 0) & (both >= similarity * (size[left][:, None] + size[right][None, :] - both) - 1e-6)
+    parent: dict[int, int] = {}
+
+    def top(i):
+        while (up := parent.get(i, i)) != i:
+            i = up
         return i
 
     out = []
-    for a, b in zip(*(x.tolist() for x in np.nonzero(near & (both > 0))), strict=True):
-        ra, rb = root(a), root(b + len(left))
+    for a, b in zip(*(x.tolist() for x in np.nonzero(near & (root[left][:, None] != root[right][None, :]))), strict=True):
+        ra, rb = top(int(root[left[a]])), top(int(root[right[b]]))
         if ra != rb:
             parent[rb] = ra
-            out.append((a, b + len(left)))
+            out.append((int(left[a]), int(right[b])))
     return out
 
 
-def _wide_links(table: DataFrame, probe: DataFrame, wide: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Forests of the links in wide buckets (key, blocks): every pair of blocks, with the sets."""
-    blocks = F.col("blocks")
-    own = F.pmod(F.hash("id"), blocks)
-    every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    members = table.join(wide, "key").select("key", "id", own.alias("tb"), every.alias("pb"), F.lit(0).alias("side"))
-    probes = probe.join(wide, "key").select("key", "id", every.alias("tb"), own.alias("pb"), F.lit(1).alias("side"))
+def _families(met: DataFrame) -> DataFrame:
+    """(id, family): classes that are close to an outer class of a full bucket."""
+    full = common.cut(met.where("n > 2").groupBy("key").count().where(F.col("count") > FULL).select("key"))
+    edges = met.join(full, "key").select("id", F.explode(F.array("low", "high")).alias("other")).where("other is not null")
+    return common.cut(common.connected_components(edges.select(F.col("id").alias("u"), F.col("other").alias("v"))).select(F.col("node").alias("id"), F.col("root").alias("family")))
+
+
+def _within(families: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) between different components of each family."""
+    of = families.join(roots, "id", "left").select("id", "family", F.coalesce("root", "id").alias("root")).join(sets, "id")
+    parts = of.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.octet_length("set")).alias("s"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    parts = common.cut(parts.select("family", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_BYTES)).cast("int").alias("blocks")))
+    own = F.pmod(F.hash("id"), F.col("blocks"))
+    dealt = of.join(parts, "family").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("family", F.least("own", "other").alias("ba"), F.greatest("own", "other").alias("bb"), "id", "root", "set", "own")
 
     def run(key, group):
         group = group.sort_by("id")
-        side, ids = group.column("side").to_numpy(), group.column("id").to_numpy()
-        own_sets = [np.frombuffer(x.as_py(), "<u8") for x in group.column("set")]
-        at = [np.flatnonzero(side == k) for k in (0, 1)]
-        ids = np.concatenate([ids[at[0]], ids[at[1]]])
-        edges = block_links([own_sets[k] for k in at[0]], [own_sets[k] for k in at[1]], similarity) if len(at[0]) and len(at[1]) else []
-        u, v = (np.array([ids[e[k]] for e in edges if ids[e[0]] != ids[e[1]]], np.int64) for k in (0, 1))
-        return pa.table({"u": pa.array(u), "v": pa.array(v)})
+        ids, root, own = (group.column(c).to_numpy() for c in ("id", "root", "own"))
+        left, right = np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py())
+        edges = block_links([np.frombuffer(x.as_py(), "<u8") for x in group.column("set")], left, right, root, similarity) if len(left) and len(right) else []
+        u, v = (np.array([ids[e[k]] for e in edges], np.int64) for k in (0, 1))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return dealt.groupBy("family", "ba", "bb").applyInArrow(run, "u long, v long")
+
 
-    return members.union(probes).join(sets, "id").groupBy("key", "tb", "pb").applyInArrow(run, "u long, v long")
+def _apart(met: DataFrame, roots: DataFrame, families: DataFrame, most: int) -> DataFrame:
+    """Close pairs (u, v) of buckets of three or more whose classes are in different components and families."""
+    of = met.where("n > 2").join(roots, "id", "left").join(families, "id", "left")
+    of = of.select("key", "id", "word", "entry", F.coalesce("root", "id").alias("root"), F.coalesce("family", "id").alias("family"))
+    counts = of.groupBy("key", "family").agg(F.count("*").alias("c"))
+    main = counts.groupBy("key").agg(F.max(F.struct("c", "family"))["family"].alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
+    of = common.cut(of.join(main, "key"))
+    other = of.select("key", F.col("id").alias("pid"), F.col("word").alias("pw"), F.col("entry").alias("pe"), F.col("root").alias("pr"), F.col("family").alias("pf"))
+    few = of.where("family <> main").drop("main")
+    near = (F.col("root") != F.col("pr")) & (F.col("family") != F.col("pf")) & (F.col("entry") | F.col("pe")) & _close(most)(F.col("word"), F.col("pw"))
+    return few.join(other, (few["key"] == other["key"]) & near).select(*_ordered("id", "pid"))
 
 
 def components(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
@@ -256,21 +302,32 @@ def components(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     identity = ["_whole", "_size", "_word"]
     classes = rows.groupBy(*identity).agg(F.min("_doc").alias("_least"), F.first("_keys").alias("_keys"))
     classes = common.cut(classes.withColumn("id", F.monotonically_increasing_id()))
-    table, probe = _rows(classes.where("_size > 0"), width, radius)
-    wide = table.groupBy("key").agg(F.count("*").alias("n"), F.sum("_size").alias("s")).where(F.col("n") > WIDE)
-    wide = common.cut(wide.select("key", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") * 8 / BLOCK_BYTES)).cast("int").alias("blocks")))
-    t = table.select("key", "id", "word").join(wide.select("key"), "key", "left_anti")
-    p = probe.select("key", F.col("id").alias("pid"), F.col("word").alias("pw"))
-    near = (F.col("id") != F.col("pid")) & (F.bit_count(F.col("word").bitwiseXOR(F.col("pw"))) <= most)
-    pairs = t.join(p, (t["key"] == p["key"]) & near).select(F.least("id", "pid").alias("u"), F.greatest("id", "pid").alias("v")).distinct()
-    pairs = common.cut(pairs)
-    identities = classes.select("id", "_least", "_whole")
-    in_wide = table.join(wide, "key", "left_semi").select("id").union(probe.join(wide, "key", "left_semi").select("id"))
-    wanted = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).union(in_wide).distinct()
-    sets = common.cut(sets_of(docs, identities.join(wanted, "id"), words))
-    links = _verified(pairs, sets, similarity).union(_wide_links(table.select("key", "id"), probe.select("key", "id"), wide, sets, similarity))
-    roots = common.connected_components(links)
-    joined = common.cut(classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select(*identity, F.col("_least").alias("_first"), F.coalesce("root", "id").alias("_root")))
+    known = classes.select("id", "_least", "_whole")
+    met = common.cut(_meetings(classes.where("_size > 0"), width, radius, most))
+
+    pairs = met.select("id", F.explode(F.array("low", "high")).alias("other")).where("other is not null")
+    pairs = common.cut(pairs.select(*_ordered("id", "other")).distinct())
+    nth = F.row_number().over(Window.partitionBy("v").orderBy("u"))
+    first = common.cut(pairs.withColumn("nth", nth).where(F.col("nth") <= FIRST).select("u", "v"))
+    ends = lambda d: d.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    sets = common.cut(sets_of(docs, known.join(ends(pairs), "id"), words))
+    links = common.cut(_verified(first, sets, similarity))
+    roots = common.cut(common.connected_components(links).withColumnRenamed("node", "id"))
+
+    families = _families(met)
+    more = families.select("id").join(sets.select("id"), "id", "left_anti")
+    sets = sets.union(common.cut(sets_of(docs, known.join(more, "id"), words)))
+    links = common.cut(_within(families, roots, sets, similarity))
+    of = lambda c: roots.join(families, "id", "full").select(F.col("id").alias(c), F.coalesce("root", "id").alias(f"r{c}"), F.coalesce("family", "id").alias(f"f{c}"))
+    left = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    left = left.where((F.coalesce("ru", "u") != F.coalesce("rv", "v")) & (F.coalesce("fu", "u") != F.coalesce("fv", "v"))).select("u", "v")
+    left = common.cut(left.union(_apart(met, roots, families, most)).distinct().join(first, ["u", "v"], "left_anti"))
+    more = ends(left).join(sets.select("id"), "id", "left_anti")
+    sets = sets.union(common.cut(sets_of(docs, known.join(more, "id"), words)))
+    links = links.union(_verified(left, sets, similarity)).union(roots.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")))
+
+    roots = common.connected_components(links).withColumnRenamed("node", "id")
+    joined = common.cut(classes.join(roots, "id", "left").select(*identity, F.col("_least").alias("_first"), F.coalesce("root", "id").alias("_root")))
     smallest = common.cut(joined.groupBy("_root").agg(F.min("_first").alias("_least")))
     return rows, joined.join(smallest, "_root").select(*identity, "_root", "_least")
 
