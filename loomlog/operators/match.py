@@ -11,8 +11,9 @@ A template matches a line if its full pattern does and, at each literal (or
 closed) token that no blank follows, the text can go on without a blank.  The
 second part is only tested where the compiler cannot prove it.
 
-Two backends give the same result: ``expr`` is column expressions with literal
-Java patterns, no shuffle and no Python; ``arrow`` walks the tree with Python's
+Two backends give the same result, on any script: ``expr`` is column expressions
+with literal Java patterns, whose character kinds are spelled out (``regexes.java``),
+no shuffle and no Python; ``arrow`` walks the tree with Python's
 ``re`` and suits catalogs of hundreds of templates.
 
 Null lines count as empty; lines keep all their columns.
@@ -89,16 +90,12 @@ def _literals(catalog: Catalog, path) -> tuple[tuple[int, str], ...]:
     return tuple((n, catalog.nodes[n].token.value) for n in path if not catalog.nodes[n].token.is_variable and named(n))
 
 
-def _java(pattern: str) -> str:
-    return "(?d)" + pattern  # only \n ends a line
-
-
 def _values(content: Column, pattern: str, n: int) -> Column:
     """The groups of an anchored pattern that is known to match, with one evaluation of it."""
     if not n:
         return F.array().cast("array<string>")
-    one = F.split(F.regexp_replace(content, _java(pattern), _MARK.join(f"${k}" for k in range(1, n + 1))), _MARK, -1)
-    each = F.array(*[F.regexp_extract(content, _java(pattern), k) for k in range(1, n + 1)])
+    one = F.split(F.regexp_replace(content, regexes.java(pattern), _MARK.join(f"${k}" for k in range(1, n + 1))), _MARK, -1)
+    each = F.array(*[F.regexp_extract(content, regexes.java(pattern), k) for k in range(1, n + 1)])
     return F.when(content.contains(_MARK), each).otherwise(one)
 
 
@@ -115,11 +112,11 @@ def matches_column(catalog: Catalog, content: Column) -> Column:
     found = []
     for t in catalog.order():
         p = compile_template(catalog, t)
-        holds = content.rlike(_java(p.pattern))
+        holds = content.rlike(regexes.java(p.pattern))
         if len(p.needle) > 1:
             holds = content.contains(p.needle) & holds
         for g in p.guards:
-            holds = holds & content.rlike(_java(g))
+            holds = holds & content.rlike(regexes.java(g))
         fields = _fields(p.variables, p.literals, _values(content, p.pattern, len(p.variables)))
         found.append(F.when(holds, F.struct(F.lit(t).alias("template_id"), F.lit(len(p.path)).alias("trail_len"), fields.alias("fields"))))
     parts = [F.filter(F.array(*found[k : k + CHUNK]), lambda m: m.isNotNull()) for k in range(0, len(found), CHUNK)]
@@ -143,11 +140,11 @@ def partial_column(catalog: Catalog, content: Column) -> Column:
             return deeper
         pattern = prefix_pattern(catalog, path, capture=True)
         variables = [n for n in path if catalog.nodes[n].token.is_variable]
-        values = F.array(*[F.regexp_extract(content, _java(pattern), k + 1) for k in range(len(variables))]).cast("array<string>")
-        suffix = scalars.strip(F.regexp_replace(content, _java(pattern), ""))
+        values = F.array(*[F.regexp_extract(content, regexes.java(pattern), k + 1) for k in range(len(variables))]).cast("array<string>")
+        suffix = scalars.strip(F.regexp_replace(content, regexes.java(pattern), ""))
         own = F.array(F.struct(F.lit(node).alias("node_id"), suffix.alias("suffix"), _fields(variables, _literals(catalog, path), values).alias("fields"))).cast(PARTIAL)
         got = own if deeper is None else F.get(F.transform(F.array(deeper), lambda d: F.when(F.size(d) > 0, d).otherwise(own)), F.lit(0))
-        return F.when(content.rlike(_java(prefix_pattern(catalog, path, capture=False))), got).otherwise(none)
+        return F.when(content.rlike(regexes.java(prefix_pattern(catalog, path, capture=False))), got).otherwise(none)
 
     out = walk(ROOT, ())
     return none if out is None else out

@@ -43,6 +43,35 @@ def atoms(pattern: str):
         i = j
 
 
+#: Python's character kinds for text, spelled out for Java, which has ASCII ones by default and other Unicode ones by flag.
+UNICODE = {"w": r"\p{L}\p{N}_", "d": r"\p{Nd}", "s": r" \t\n\x0B\f\r\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"}
+_WORD = f"[{UNICODE['w']}]"
+_EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+
+
+def java(pattern: str) -> str:
+    """The pattern with Python's meaning of ``\\w \\d \\s \\b`` and their opposites, and of ``.`` and ``$``, for Java."""
+
+    def kind(escape: str, inside: bool) -> str:
+        own = UNICODE.get(escape[1:].lower())
+        if own is None:
+            return escape
+        if escape[1].isupper():
+            return f"[^{own}]"  # Java joins a class within a class
+        return own if inside else f"[{own}]"
+
+    out = []
+    for a in atoms(pattern):
+        if a.startswith("["):
+            a = "".join(kind(b, True) if b[0] == "\\" else "\\" + b if b in "[&" and k else b for k, b in enumerate(re.findall(r"\\.|.", a, re.S)))
+        elif a in (r"\b", r"\B"):
+            a = _EDGE if a == r"\b" else f"(?!{_EDGE})"
+        else:
+            a = kind(a, False)
+        out.append(a)
+    return "(?du)" + "".join(out)  # only \n ends a line; letters fold as in Unicode
+
+
 def capture_free(pattern: str) -> str:
     """The same language without capture groups; back-references cannot be kept."""
     out = []

@@ -505,3 +505,26 @@ def test_queries_need_no_shuffle(spark):
 def test_entry_without_the_corpus_package():
     code = "import sys; sys.modules['loomlog.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'flagship' in e.queries() and 'pipeline' not in e.queries() and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True)
+
+
+def test_both_backends_agree_on_every_script(spark):
+    rnd = random.Random(12)
+    c = Catalog()
+    for tokens in (
+        [lit("user", 1), var(r"\w+", 1), lit("id", 1), var(r"\d+")],
+        [var(r"[\w.-]+"), lit(":", 1), var(r"\S+", 1), var(r"[^\d\s]+")],
+        [lit("größe"), var(r"\W+"), var(r"(?i:ÄÖ|x)", 1), var(r".*")],
+        [var(r"\b\w\w?\b", 1), var(r"[\D&&]{2,}")],
+        [var(r"[\[\]\w]+", 1), lit("ende")],
+    ):
+        c, _ = c.add_template(tokens)
+    words = ["user", "jürgen", "anna", "id", "٣", "7", "名前", "größe", "=", "äö", "ÄÖ", "x", "ende", "[a]", "é", "e\u0301", "ñ.b-c", "&&", "Ⅷ", "²", "\u200b", "ß"]
+    blanks = [" ", "\t", "\u00a0", "\u2003", "\x1c", "\x85", "\u3000", ""]
+    lines = ["user jürgen id 7", "user anna id ٣", "user\u00a0anna id 7", "größe= äö 5", "ñ.b-c: x é"]
+    lines += ["".join(rnd.choice(words) + rnd.choice(blanks) for _ in range(rnd.randrange(1, 7))) for _ in range(1500)]
+    lines += [f"user {rnd.choice(words)}{rnd.choice(blanks)}id{rnd.choice(blanks)}{rnd.choice(words)}" for _ in range(500)]
+    df = lines_df(spark, lines)
+    expr, arrow = (parsed_rows(match.parse(df, c, backend=b)) for b in ("expr", "arrow"))
+    assert expr == arrow
+    found = match.parse(lines_df(spark, lines[:5]), c, backend="expr").where(F.size("matches") > 0).count()
+    assert found == 5
