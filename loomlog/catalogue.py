@@ -6,6 +6,7 @@ templates; each query applies one operator to its whole table.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -311,7 +312,7 @@ def nearest_description(spark, sf_dir):
 
 
 def density_clusters(spark, sf_dir):
-    return heuristics.density_clusters(_vectors(spark, sf_dir), 0.05)
+    return heuristics.density_clusters(_vectors(spark, sf_dir), 1.05)
 
 
 def line_prefixes(spark, sf_dir):
@@ -388,12 +389,17 @@ def type_votes(spark, sf_dir):
 
 
 def html_fields(spark, sf_dir):
-    """Field tables in pages (there are none in prose pages: the whole table is read)."""
-    return logs.read_field_pages(read(spark, sf_dir, "pages"))
+    """Field tables in the pages (prose has none) and in one page rendered for each part."""
+    cells = lambda tag, *x: F.concat(F.lit("<tr>"), *[F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>\n")) for c in x], F.lit("</tr>"))
+    head = cells("th", *[F.lit(x) for x in ("Field Name", "Type", "Label", "Description")])
+    key = cells("td", F.lit("key"), F.lit("int32"), F.lit("optional"), F.concat(F.lit("the <b>key</b> &amp; "), F.col("p_partkey").cast("string")))
+    size = cells("td", F.lit(" size "), F.lit("<i>uint64</i>"), F.lit(""), F.col("p_size").cast("string"))
+    html = F.concat(F.lit("<html><h2>Part "), F.col("p_partkey").cast("string"), F.lit("</h2><p>text</p><table>"), head, key, size, F.lit("</table></html>"))
+    return logs.read_field_pages(read(spark, sf_dir, "pages").select("html").union(read(spark, sf_dir, "part").select(html)))
 
 
 def stream_match_available_now(spark, sf_dir):
-    home = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    home = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     lines = event_lines(spark, sf_dir)
     lines.write.parquet(f"{home}/in")
     stream = spark.readStream.schema(lines.schema).parquet(f"{home}/in")
@@ -401,11 +407,13 @@ def stream_match_available_now(spark, sf_dir):
     return match.line_matches(ingest.matched_table(spark, f"{home}/out"))
 
 
-def _shared(spark: SparkSession) -> str:
-    import tempfile
-
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of this machine only where all run on it."""
     sc = spark.sparkContext
-    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="loomlog-")
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if named is None and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="loomlog-")
 
 
 QUERIES = {
@@ -425,9 +433,9 @@ QUERIES = {
     "q_contains_ci": _query(["props", "K", False, False]),
     "q_multi_value": _query(["user_id", ["3", "5", "8"]]),
     "q_negation": _query(["event_type", "error", True, True, None, True]),
-    "q_numeric_gt": _query(["value", "20000", True, True, ">"]),
-    "q_numeric_ge": _query(["value", "20000", True, True, ">="]),
-    "q_numeric_lt": _query(["value", "150.5ms", True, True, "<"]),
+    "q_numeric_gt": _query(["value", "17807", True, True, ">"]),
+    "q_numeric_ge": _query(["value", "17807", True, True, ">="]),
+    "q_numeric_lt": _query(["value", "150ms", True, True, "<"]),
     "q_numeric_le": _query(["value", "150", True, True, "<="]),
     "q_numeric_eq": _query(["value", "655", True, True, "="]),
     "q_datetime_range": _query(["date", "2024-01-05", True, True, ">="], ["date", "Jan 9, 2024", True, True, "<"]),

@@ -83,9 +83,9 @@ ORACLES: dict[str, str] = {
     "q_contains_ci": _where(f"{_FULL} AND lower(p) LIKE '%k%'"),
     "q_multi_value": _where("u IN ('3', '5', '8')"),
     "q_negation": _where(f"{_FULL} AND e <> 'error'"),
-    "q_numeric_gt": _where(f"{_FULL} AND CAST(v AS DOUBLE) > 20000"),
-    "q_numeric_ge": _where(f"{_FULL} AND CAST(v AS DOUBLE) >= 20000"),
-    "q_numeric_lt": _where(f"{_FULL} AND CAST(v AS DOUBLE) < 150.5"),
+    "q_numeric_gt": _where(f"{_FULL} AND CAST(v AS DOUBLE) > 17807"),
+    "q_numeric_ge": _where(f"{_FULL} AND CAST(v AS DOUBLE) >= 17807"),
+    "q_numeric_lt": _where(f"{_FULL} AND CAST(v AS DOUBLE) < 150"),
     "q_numeric_le": _where(f"{_FULL} AND CAST(v AS DOUBLE) <= 150"),
     "q_numeric_eq": _where(f"{_FULL} AND CAST(v AS DOUBLE) = 655"),
     "q_datetime_range": _where("CAST(d AS DATE) >= DATE '2024-01-05' AND CAST(d AS DATE) < DATE '2024-01-09'"),
@@ -140,7 +140,7 @@ ORACLES: dict[str, str] = {
     "cosine_clusters": f"""WITH RECURSIVE {_V}, {_C}, e AS (SELECT a.label AS a, b.label AS b FROM c a, c b WHERE a.label <> b.label AND list_cosine_similarity(a.y, b.y) > 0.2),
         r AS (SELECT label AS id, label AS root FROM c UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id) SELECT id AS label, min(root) AS merged FROM r GROUP BY id""",
     "nearest_description": f"WITH {_V}, {_C} SELECT label, id FROM v JOIN c USING (label) QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(list_cosine_similarity(x, y), 9) DESC, id) = 1",
-    "density_clusters": f"""WITH RECURSIVE {_V}, e AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id AND list_distance(a.x, b.x) <= 0.05),
+    "density_clusters": f"""WITH RECURSIVE {_V}, e AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id AND list_distance(a.x, b.x) <= 1.05),
         r AS (SELECT DISTINCT a AS id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id) SELECT v.id, c.root AS cluster FROM v LEFT JOIN (SELECT id, min(root) AS root FROM r GROUP BY id) c USING (id)""",
     "line_prefixes": f"{_W} SELECT line_id, 7::INTEGER AS node_id, regexp_extract(content, '^(.*\\]:\\s+)', 1) AS prefix, regexp_extract(content, '\\]:\\s+(.*)$', 1) AS suffix FROM p WHERE e = 'view'",
     "filled_matches": f"{_W} SELECT line_id, template_id FROM m",
@@ -163,5 +163,7 @@ ORACLES: dict[str, str] = {
     "degree_of_separation": "SELECT a::INTEGER AS t1, b::INTEGER AS t2, 7::INTEGER AS degree FROM range(4) AS x(a), range(4) AS y(b) WHERE a < b",
     "taxonomy_siblings": "WITH t AS (SELECT r_name || '.' || n_name AS name, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT a.name, b.name AS sibling FROM t a JOIN t b USING (parent) WHERE a.name <> b.name",
     "type_votes": "SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY o_custkey, o_orderpriority QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, o_orderpriority) = 1",
+    "html_fields": """SELECT 'Part ' || p_partkey AS type, field, field_type, label, CASE field WHEN 'key' THEN 'the key & ' || p_partkey ELSE p_size::VARCHAR END AS description
+        FROM part, (VALUES ('key', 'int32', 'optional'), ('size', 'uint64', '')) AS x(field, field_type, label)""",
     "stream_match_available_now": f"{_W} SELECT line_id, template_id, 11::INTEGER AS trail_len FROM m",
 }
