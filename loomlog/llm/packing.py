@@ -195,46 +195,54 @@ def _improve(a: tuple[int, ...], b: tuple[int, ...], size: int) -> tuple[tuple[i
     return tuple(sorted(na, reverse=True)), tuple(sorted(nb, reverse=True))
 
 
-def local_search(bins: Counter, size: int = SIZE, partners: int = 64) -> Counter:
+def local_search(bins: Counter, size: int = SIZE) -> Counter:
     """Exchange documents between underfull bins while that raises the sum of squared fills.
 
-    Patterns wait in a heap, emptiest first; each gives to the fullest
-    underfull patterns.  ``partners`` bounds how many of those one step looks
-    at; the search ends when no pattern finds a step.
+    Patterns wait in a heap, emptiest first; each gives to the fullest underfull
+    pattern that it finds a step with.  One that finds none waits until a
+    pattern appears that it has not been tried with, so the search ends when no
+    pair of patterns has a step, or when there are as few bins as tokens allow.
     """
     bins = Counter(bins)
     total = sum(sum(c) * n for c, n in bins.items())
-    least = -(-total // size)
+    least, count = -(-total // size), sum(bins.values())
+    born = dict.fromkeys(bins, 0)  # when a pattern last became more frequent
+    tried: dict[tuple[int, ...], int] = {}  # the time up to which a giver's partners were tried
+    now = 0
     heap = [(sum(c), c) for c in bins if sum(c) < size]
     heapq.heapify(heap)
-    tried = 0
-    while heap and sum(bins.values()) > least and tried < 4 * len(bins) + 4096:
+    waiting = {c for _, c in heap}
+    while heap and count > least:
         fill, giver = heapq.heappop(heap)
+        waiting.discard(giver)
         n = bins.get(giver, 0)
-        if not n or fill == size:
+        if not n:
             continue
-        takers = heapq.nlargest(partners, (c for c in bins if fill <= sum(c) < size and bins[c]), key=sum)
+        since = tried.get(giver, -1)
         step = None
-        for taker in takers:
+        for taker in sorted((c for c in bins if fill <= sum(c) < size and born[c] > since), key=lambda c: (-sum(c), c)):
             pairs = min(n, bins[taker]) if taker != giver else n // 2
             if pairs and (step := _improve(taker, giver, size)):
                 break
         if not step:
-            tried += 1
+            tried[giver] = now
             continue
         for old in (taker, giver):
             bins[old] -= pairs
+            count -= pairs
             if not bins[old]:
                 del bins[old]
-        for new in step:
-            if new:
-                bins[new] += pairs
-                if sum(new) < size:
-                    heapq.heappush(heap, (sum(new), new))
-        if bins.get(giver):
-            heapq.heappush(heap, (fill, giver))
-        if bins.get(taker):
-            heapq.heappush(heap, (sum(taker), taker))
+        now += 1
+        fresh = [new for new in step if new]
+        for new in fresh:
+            bins[new] += pairs
+            count += pairs
+            born[new] = now
+        most = max((sum(c) for c in fresh if sum(c) < size), default=-1)
+        for c in bins:  # givers that a new pattern may take from, the new ones among them
+            if sum(c) <= most and c not in waiting or c in (giver, taker) and sum(c) < size and c not in waiting:
+                waiting.add(c)
+                heapq.heappush(heap, (sum(c), c))
     return bins
 
 

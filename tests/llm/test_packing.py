@@ -65,3 +65,29 @@ def test_pack(spark):
         assert at <= packing.SIZE
     assert len(by) <= -(-sum(r.length for r in rows) // packing.SIZE) + 1
     assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_the_search_ends_where_no_pair_of_bins_has_a_step():
+    rnd = random.Random(3)
+    saved = 0
+    for _ in range(150):
+        size = rnd.choice((20, 50, 97))
+        counts = {n: rnd.randrange(1, 6) for n in rnd.sample(range(size // 4, size), rnd.randrange(2, 12))}
+        start = packing.best_fit(counts, size)
+        for bins in (start, Counter({(n,): k for n, k in counts.items()})):  # the second is far from packed
+            out = packing.local_search(bins, size)
+            assert Counter(x for c, n in out.items() for x in c * n) == Counter(counts) and all(sum(c) <= size for c in out)
+            saved += sum(bins.values()) - sum(out.values())
+            if sum(out.values()) > -(-sum(n * k for n, k in counts.items()) // size):
+                low = [c for c in out if sum(c) < size]
+                assert not [1 for a in low for b in low if sum(b) <= sum(a) and (a != b or out[a] > 1) and packing._improve(a, b, size)]
+    assert saved > 0
+
+
+def test_the_fast_encoder_gives_the_tokenizer_s_ids():
+    tok, encode = Tokenizer.from_file(packing.tokenizer_files()[0]), packing.encoder(packing.tokenizer_files())
+    rnd = random.Random(7)
+    parts = ["word", " the", "\n\n", "  ", "\t", "é", "名前", "🙂", "e\u0301", "'s", "'LL", "123", "12 345", "\u00a0", "\u200b", "<|endoftext|>", "<|endoftext", "\x00", "\r\n", "ß", "...", "=="]
+    for _ in range(2000):
+        t = "".join(rnd.choice(parts) if rnd.random() < 0.7 else chr(rnd.choice((rnd.randrange(32, 0x250), rnd.randrange(0x250, 0xD7FF), rnd.randrange(0xE000, 0x1F700)))) for _ in range(rnd.randrange(0, 30)))
+        assert encode(t) == tok.encode(t, add_special_tokens=False).ids, t
