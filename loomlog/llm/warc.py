@@ -14,9 +14,10 @@ follows ``Content-Length``; a payload may hold anything, record headers
 included.
 
 Cases: a null payload is empty; a null url is written as an empty target; a
-null page_id gets records without a page number, is never referred to, and
-sorts after all ids when the first of equal payloads is chosen; rows that
-repeat a page_id are captures of their own; an empty table gives no archive
+null page_id gets records without a page number and sorts after all ids when the
+first of equal payloads is chosen; rows that repeat a page_id are captures of
+their own, and of equal payloads under one id (or none) one is the response, by
+url and then by place in the table; very long payloads are written whole; an empty table gives no archive
 and no rows; other columns are ignored.
 """
 
@@ -37,6 +38,7 @@ REVISIT_BYTES = 100
 #: Records in one archive file; files are read whole, so this bounds a reader's memory.
 FILE_RECORDS = 6000
 END = "\r\n\r\n"
+DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 STATUS = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -44,32 +46,43 @@ STATUS = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 def _record(kind: str, record_id: Column, headers: list[tuple[str, Column]], block: Column) -> Column:
     named = [F.coalesce(F.concat(F.lit(f"{k}: "), v, F.lit("\r\n")), F.lit("")) for k, v in headers]
     return F.concat(
-        F.lit(f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:loom:"), record_id, F.lit(">\r\nWARC-Date: 2024-01-01T00:00:00Z\r\n"), *named,
+        F.lit(f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:loom:"), record_id, F.lit(f">\r\nWARC-Date: {DATE}\r\n"), *named,
         F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block,
     )
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, size, digest and the response a revisit refers to (refers_to, refers_id)."""
+    """page_id, url, html, size, digest, n, and of revisits the response: revisit, refers_to (its page), refers_n, refers_url.
+
+    ``n`` numbers the rows as the scan gives them.  It tells apart rows of one
+    page, url and payload alone, so that one of them is the response.
+    """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    own = pages.select(F.col("page_id").cast("long"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("size"), F.sha2(html, 256).alias("digest"))
-    first = own.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"))
-    return own.join(first, "digest", "left").select("page_id", "url", "html", "size", "digest", F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first")), F.col("first")).alias("refers_to"))
+    own = pages.select(
+        F.col("page_id").cast("long"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("size"),
+        F.sha2(html, 256).alias("digest"), F.monotonically_increasing_id().alias("n"),
+    )
+    rank = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url", "n")
+    first = own.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min(rank).alias("first"))
+    joined = own.join(first, "digest", "left")
+    of = lambda c: F.when(F.col("revisit"), F.col(f"first.{c}"))
+    joined = joined.withColumn("revisit", F.coalesce(rank > F.col("first"), F.lit(False)))
+    return joined.select("page_id", "url", "html", "size", "digest", "n", "revisit", of("page_id").alias("refers_to"), of("n").alias("refers_n"), of("url").alias("refers_url"))
 
 
 def write(pages: DataFrame, path: str) -> None:
     """Write the archives of ``pages`` (page_id, url, html) under ``path``."""
-    c = captures(pages).withColumn("n", F.monotonically_increasing_id().cast("string"))
+    c = captures(pages).withColumns({k: F.col(k).cast("string") for k in ("n", "refers_n")})
     own, request, metadata = (F.concat(F.col("n"), F.lit(x)) for x in ("-c", "-q", "-m"))
+    flat = lambda name: F.regexp_replace(name, r"[\r\n]+", " ")
     page = ("X-Page-ID", F.col("page_id").cast("string"))
-    target = ("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]+", " "))
+    target = ("WARC-Target-URI", flat("url"))
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")))
     partner = ("WARC-Concurrent-To", F.concat(F.lit("<urn:loom:"), own, F.lit(">")))
-    revisit = F.col("refers_to").isNotNull()
-    answer = F.when(
-        revisit,
-        _record("revisit", own, [target, page, digest, ("WARC-Profile", F.lit(PROFILE)), ("X-Refers-To-Page", F.col("refers_to").cast("string"))], F.lit(STATUS)),
-    ).otherwise(_record("response", own, [target, page, digest, ("Content-Type", F.lit("application/http;msgtype=response"))], F.concat(F.lit(STATUS), F.col("html"))))
+    refers = [("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", F.concat(F.lit("<urn:loom:"), F.col("refers_n"), F.lit("-c>"))), ("WARC-Refers-To-Target-URI", flat("refers_url")), ("WARC-Refers-To-Date", F.lit(DATE)), ("X-Refers-To-Page", F.col("refers_to").cast("string"))]
+    answer = F.when(F.col("revisit"), _record("revisit", own, [target, page, digest, *refers], F.lit(STATUS))).otherwise(
+        _record("response", own, [target, page, digest, ("Content-Type", F.lit("application/http;msgtype=response"))], F.concat(F.lit(STATUS), F.col("html")))
+    )
     asked = _record("request", request, [target, partner, ("Content-Type", F.lit("application/http;msgtype=request"))], F.concat(F.lit("GET "), target[1], F.lit(" HTTP/1.1" + END)))
     fields = _record("metadata", metadata, [partner, ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("payload-length: "), F.col("size").cast("string"), F.lit("\r\n")))
     out = c.select(F.explode(F.array(asked, answer, fields)).alias("value"))

@@ -14,9 +14,10 @@ def test_roundtrip(spark, tmp_path):
     warc.write(df, path)
     got = warc.assemble(warc.records(spark, path, with_payload=True)).collect()
     assert len(got) == len(rows)
-    want = sorted((i or -1, (h or ""), "revisit" if len((h or "").encode()) >= 100 and i != 1 and h == long else "response") for i, u, h in rows)
-    by = {(r.response.page_id or -1): r for r in got}
-    assert sorted((r.response.page_id or -1, r.response.type) for r in got) == [(i, t) for i, _, t in want]
+    first = rows.index((1, "http://b", long))  # the other row of page 1 revisits it
+    want = sorted((i or -1, "revisit" if h == long and k != first else "response") for k, (i, u, h) in enumerate(rows))
+    by = {(r.response.page_id or -1): r for r in got if r.response.page_id != 1 or r.response.type == "response"}
+    assert sorted((r.response.page_id or -1, r.response.type) for r in got) == want
     for i, _u, h in rows:
         r = by[i or -1]
         assert r.metadata.size == len((h or "").encode()) and r.response.digest == hashlib.sha256((h or "").encode()).hexdigest()
@@ -41,3 +42,14 @@ def test_parse_by_record_members_and_damage():
 
 def test_empty(spark):
     assert warc.roundtrip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_equal_payloads_without_an_id_or_under_one(spark):
+    same, other = "p" * 100, "q" * 100
+    rows = [(None, "b", same), (None, "a", same), (None, "a", same), (4, "z", other), (4, "y", other), (9, "a", other), (4, "y", other)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    c = warc.captures(df).collect()
+    assert sorted((r.html[0], r.url) for r in c if not r.revisit) == [("p", "a"), ("q", "y")]
+    assert {r.refers_to for r in c if r.revisit and r.html == other} == {4} and {r.refers_to for r in c if r.html == same} == {None}
+    number = {r.html: r.n for r in c if not r.revisit}
+    assert all(r.refers_n == number[r.html] for r in c if r.revisit)
