@@ -19,10 +19,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share; one of this machine only where none is configured and all run on it."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        if named is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomlog-"))
     return named or sc.getCheckpointDir()
 

@@ -34,6 +34,7 @@ from .toxicity import fit_curve
 
 SAMPLE = 20_000
 SITES = 50_000
+REJECTED = 500_000
 REJECT_BELOW = 0.5
 _CLASS = np.zeros(256, np.int64)  # 0 other, 1 lower letter, 2 upper letter, 3 digit, 4 white space, 5 sentence mark, 6 symbol
 _CLASS[97:123] = 1
@@ -162,26 +163,45 @@ def _posterior() -> tuple[Column, Column]:
     return rate, 1 / (1 + F.exp(-(logit(e) + logit(rate) - logit(g))))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, carry: list[str] | None = None) -> DataFrame:
-    """``carry`` (default: doc_id) and (_evidence, _site_rate, _posterior, _keep) for each row."""
+def _identity() -> list[Column]:
+    """A row's document: its id (null comes first) and a hash of its text, as texts may differ under one id."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)).alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_text_hash")]
+
+
+def decided(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None) -> DataFrame:
+    """(_doc, _text_hash, _evidence, _site_rate, _posterior, _keep) for each row.
+
+    Texts are scored once: a few bytes of each row are written, of which sites
+    are summed and to which their rates are joined.
+    """
     host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
     curve = train(docs, labels)
-    known = common.cut(sites(evidence(docs, curve, host, path, [])))
+    own = docs.select("*", *_identity())
+    rated = common.cut(evidence(own, curve, host, path, ["_doc", "_text_hash"]))
+    known = common.cut(sites(rated))
     if known.count() <= SITES:
         known = F.broadcast(known)
     known = known.withColumnRenamed("_host", "_h").withColumnRenamed("_path", "_p")
-    rated = evidence(docs, curve, host, path, carry or ["doc_id"])
     joined = rated.join(known, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")))
     rate, posterior = _posterior()
     keep = F.lit(True) if curve is None else F.col("_posterior") >= REJECT_BELOW
-    return joined.select(*[F.col(c) for c in carry or ["doc_id"]], "_evidence", rate.alias("_site_rate"), posterior.alias("_posterior")).withColumn("_keep", keep)
+    return joined.select("_doc", "_text_hash", "_evidence", rate.alias("_site_rate"), posterior.alias("_posterior")).withColumn("_keep", keep)
+
 
+def keep_good(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with all their columns.
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not rejected."""
-    return classify(docs, labels, carry=docs.columns).where("_keep").select(*docs.columns)
+    Needs ``doc_id``, ``text`` and the columns of ``host`` and ``path`` (default: ``source`` and ``lang``).
+    Rejected rows are named by id and text; up to REJECTED of them are broadcast, more are joined by a shuffle.
+    """
+    bad = common.cut(decided(docs, labels, host, path).where("not _keep").select(F.col("_doc").alias("_bad"), F.col("_text_hash").alias("_bad_hash")).distinct())
+    if bad.count() <= REJECTED:
+        bad = F.broadcast(bad)
+    doc, text = F.coalesce(docs["doc_id"].cast("long"), F.lit(common.NULL_ID)), F.xxhash64(docs["text"].cast("string"))
+    return docs.join(bad, (doc == bad["_bad"]) & (text == bad["_bad_hash"]), "left_anti")
 
 
 def query(spark, sf_dir):
-    c = classify(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
-    return c.select("doc_id", *[F.col(f"_{n}").alias(n) for n in ("evidence", "site_rate", "posterior", "keep")])
+    c = decided(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+    doc = F.when(F.col("_doc") != common.NULL_ID, F.col("_doc")).alias("doc_id")
+    return c.select(doc, *[F.col(f"_{n}").alias(n) for n in ("evidence", "site_rate", "posterior", "keep")])
