@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Stands in for a null id inside joins and comparisons; nulls sort first.
 NULL_ID = -(2**63)
+#: Edges in a part of a graph: few edges in very many parts would be mostly files.
+EDGES = 50_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,10 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and forget how it was made."""
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Materialise ``df`` in the shared folder, in at most ``parts`` files, and forget how it was made."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if parts is None else df.coalesce(parts)).checkpoint(eager=True)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -131,15 +133,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     which Spark splits where a node has very many neighbours.
     """
     e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    parts = max(8, e.count() // EDGES)
+    e = e.coalesce(parts)
     mark = None
     while True:
         both = e.union(e.select("v", "u"))
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), parts)
+        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), parts)
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), parts)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"), F.col("u").alias("w"))
         star = small.select("u", "v").union(small.select(F.col("w").alias("u"), "v")).where("u <> v").distinct()
-        e = cut(star)
+        e = cut(star, parts)
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == mark:
             break

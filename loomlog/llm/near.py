@@ -20,7 +20,7 @@ Jaccard similarity of ``SIMILARITY`` or more; groups are connected components.
    pairs.  A few of each class's partners are verified on the whole shingle
    sets first; they join the members of a large group of copies, so that later
    steps skip its pairs.
-5. Classes that meet an outer class in a bucket of more than ``FULL`` rows form
+5. Classes that meet an outer class in a bucket of more than ``FULL`` entries form
    families.  A family that is not one component yet is verified whole, in
    pairs of blocks that carry the sets: each sends on a spanning forest of true
    links between components, so none of a large group's pairs are written out.
@@ -56,7 +56,8 @@ WORDS, SIMILARITY, RECALL = 5, 0.8, 0.97
 NO_ID = 2**63 - 1
 SLICE = 16_384  # shingles whose bits are counted at once
 FIRST = 4  # partners of a class that are verified first
-FULL = 32  # rows of a bucket from which its close classes are a family
+FULL = 8  # entries of a bucket from which its close classes are a family
+CLASSES = 20_000  # classes in a part of the tables below
 BLOCK, BLOCK_BYTES = 512, 32_000_000  # classes and bytes of sets in a block of a family
 SENT = 400_000  # classes whose sets are asked for by a broadcast; more are joined by a shuffle
 _HASH = common.SpanHash(31)
@@ -255,20 +256,19 @@ def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, roo
     return out
 
 
-def _families(met: DataFrame) -> DataFrame:
+def _families(met: DataFrame, parts: int) -> DataFrame:
     """(id, family): classes that are close to an outer class of a full bucket."""
-    full = common.cut(met.where("n > 2").groupBy("key").count().where(F.col("count") > FULL).select("key"))
-    edges = met.join(full, "key").select("id", F.explode(F.array("low", "high")).alias("other")).where("other is not null")
-    return common.cut(common.connected_components(edges.select(F.col("id").alias("u"), F.col("other").alias("v"))).select(F.col("node").alias("id"), F.col("root").alias("family")))
+    edges = met.where(F.col("n") > FULL).select("id", F.explode(F.array("low", "high")).alias("other")).where("other is not null")
+    return common.cut(common.connected_components(edges.select(F.col("id").alias("u"), F.col("other").alias("v"))).select(F.col("node").alias("id"), F.col("root").alias("family")), parts)
 
 
-def _within(families: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _within(families: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, parts: int) -> DataFrame:
     """Links (u, v) between different components of each family."""
     of = families.join(roots, "id", "left").select("id", "family", F.coalesce("root", "id").alias("root")).join(sets, "id")
-    parts = of.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.octet_length("set")).alias("s"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-    parts = common.cut(parts.select("family", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_BYTES)).cast("int").alias("blocks")))
+    sizes = of.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.octet_length("set")).alias("s"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    sizes = common.cut(sizes.select("family", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_BYTES)).cast("int").alias("blocks")), parts)
     own = F.pmod(F.hash("id"), F.col("blocks"))
-    dealt = of.join(parts, "family").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = of.join(sizes, "family").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("family", F.least("own", "other").alias("ba"), F.greatest("own", "other").alias("bb"), "id", "root", "set", "own")
 
     def run(key, group):
@@ -279,20 +279,21 @@ def _within(families: DataFrame, roots: DataFrame, sets: DataFrame, similarity:
         u, v = (np.array([ids[e[k]] for e in edges], np.int64) for k in (0, 1))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return dealt.groupBy("family", "ba", "bb").applyInArrow(run, "u long, v long")
+    # by all three, as a family's blocks would else stay where the join by family left them
+    return dealt.repartition("family", "ba", "bb").groupBy("family", "ba", "bb").applyInArrow(run, "u long, v long")
 
 
-def _apart(met: DataFrame, roots: DataFrame, families: DataFrame, most: int) -> DataFrame:
+def _apart(met: DataFrame, roots: DataFrame, families: DataFrame, most: int, parts: int) -> DataFrame:
     """Close pairs (u, v) of buckets of three or more whose classes are in different components and families."""
     of = met.where("n > 2").join(roots, "id", "left").join(families, "id", "left")
     of = of.select("key", "id", "word", "entry", F.coalesce("root", "id").alias("root"), F.coalesce("family", "id").alias("family"))
+    of = common.cut(of, parts)
     counts = of.groupBy("key", "family").agg(F.count("*").alias("c"))
-    main = counts.groupBy("key").agg(F.max(F.struct("c", "family"))["family"].alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
-    of = common.cut(of.join(main, "key"))
-    other = of.select("key", F.col("id").alias("pid"), F.col("word").alias("pw"), F.col("entry").alias("pe"), F.col("root").alias("pr"), F.col("family").alias("pf"))
-    few = of.where("family <> main").drop("main")
+    main = counts.groupBy("key").agg(F.max(F.struct("c", "family"))["family"].alias("main"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("main_key"), "main")
+    few = of.join(main, (F.col("key") == F.col("main_key")) & (F.col("family") != F.col("main"))).select(*of.columns)
+    other = of.select(F.col("key").alias("pk"), F.col("id").alias("pid"), F.col("word").alias("pw"), F.col("entry").alias("pe"), F.col("root").alias("pr"), F.col("family").alias("pf"))
     near = (F.col("root") != F.col("pr")) & (F.col("family") != F.col("pf")) & (F.col("entry") | F.col("pe")) & _close(most)(F.col("word"), F.col("pw"))
-    return few.join(other, (few["key"] == other["key"]) & near).select(*_ordered("id", "pid"))
+    return few.join(other, (F.col("key") == F.col("pk")) & near).select(*_ordered("id", "pid"))
 
 
 def components(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
@@ -302,33 +303,36 @@ def components(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     identity = ["_whole", "_size", "_word"]
     classes = rows.groupBy(*identity).agg(F.min("_doc").alias("_least"), F.first("_keys").alias("_keys"))
     classes = common.cut(classes.withColumn("id", F.monotonically_increasing_id()))
+    parts = max(16, classes.count() // CLASSES)
+    cut = lambda d: common.cut(d, parts)
+    classes = classes.coalesce(parts)
     known = classes.select("id", "_least", "_whole")
-    met = common.cut(_meetings(classes.where("_size > 0"), width, radius, most))
+    met = cut(_meetings(classes.where("_size > 0"), width, radius, most))
 
     pairs = met.select("id", F.explode(F.array("low", "high")).alias("other")).where("other is not null")
-    pairs = common.cut(pairs.select(*_ordered("id", "other")).distinct())
+    pairs = cut(pairs.select(*_ordered("id", "other")).distinct())
     nth = F.row_number().over(Window.partitionBy("v").orderBy("u"))
-    first = common.cut(pairs.withColumn("nth", nth).where(F.col("nth") <= FIRST).select("u", "v"))
+    first = cut(pairs.withColumn("nth", nth).where(F.col("nth") <= FIRST).select("u", "v"))
     ends = lambda d: d.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = common.cut(sets_of(docs, known.join(ends(pairs), "id"), words))
-    links = common.cut(_verified(first, sets, similarity))
-    roots = common.cut(common.connected_components(links).withColumnRenamed("node", "id"))
+    sets = cut(sets_of(docs, known.join(ends(pairs), "id"), words))
+    links = cut(_verified(first, sets, similarity))
+    roots = cut(common.connected_components(links).withColumnRenamed("node", "id"))
 
-    families = _families(met)
+    families = _families(met, parts)
     more = families.select("id").join(sets.select("id"), "id", "left_anti")
-    sets = sets.union(common.cut(sets_of(docs, known.join(more, "id"), words)))
-    links = common.cut(_within(families, roots, sets, similarity))
+    sets = sets.union(cut(sets_of(docs, known.join(more, "id"), words)))
+    links = cut(_within(families, roots, sets, similarity, parts))
     of = lambda c: roots.join(families, "id", "full").select(F.col("id").alias(c), F.coalesce("root", "id").alias(f"r{c}"), F.coalesce("family", "id").alias(f"f{c}"))
     left = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
     left = left.where((F.coalesce("ru", "u") != F.coalesce("rv", "v")) & (F.coalesce("fu", "u") != F.coalesce("fv", "v"))).select("u", "v")
-    left = common.cut(left.union(_apart(met, roots, families, most)).distinct().join(first, ["u", "v"], "left_anti"))
+    left = cut(left.union(_apart(met, roots, families, most, parts)).distinct().join(first, ["u", "v"], "left_anti"))
     more = ends(left).join(sets.select("id"), "id", "left_anti")
-    sets = sets.union(common.cut(sets_of(docs, known.join(more, "id"), words)))
+    sets = sets.union(cut(sets_of(docs, known.join(more, "id"), words)))
     links = links.union(_verified(left, sets, similarity)).union(roots.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")))
 
     roots = common.connected_components(links).withColumnRenamed("node", "id")
-    joined = common.cut(classes.join(roots, "id", "left").select(*identity, F.col("_least").alias("_first"), F.coalesce("root", "id").alias("_root")))
-    smallest = common.cut(joined.groupBy("_root").agg(F.min("_first").alias("_least")))
+    joined = cut(classes.join(roots, "id", "left").select(*identity, F.col("_least").alias("_first"), F.coalesce("root", "id").alias("_root")))
+    smallest = cut(joined.groupBy("_root").agg(F.min("_first").alias("_least")))
     return rows, joined.join(smallest, "_root").select(*identity, "_root", "_least")
 
 
