@@ -314,7 +314,7 @@ def components(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     nth = F.row_number().over(Window.partitionBy("v").orderBy("u"))
     first = cut(pairs.withColumn("nth", nth).where(F.col("nth") <= FIRST).select("u", "v"))
     ends = lambda d: d.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = cut(sets_of(docs, known.join(ends(pairs), "id"), words))
+    sets = cut(sets_of(docs, known.join(ends(first), "id"), words))
     links = cut(_verified(first, sets, similarity))
     roots = cut(common.connected_components(links).withColumnRenamed("node", "id"))
 
