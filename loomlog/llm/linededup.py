@@ -60,16 +60,17 @@ def dedup(docs: DataFrame, lines: int = LINES) -> DataFrame:
     late = later_windows(docs, lines)
     own = docs.select(*docs.columns, *_key())
     joined = own.join(late, ["_doc", "_th"], "left")
-    # the one-row generator makes the lines and the covered places once for each text, however often they are read
-    late_lines = F.when(F.col("_gone").isNotNull(), F.split("text", "\n", -1))
-    late_places = F.array_distinct(F.flatten(F.transform("_gone", lambda p: F.sequence(p, p + lines - 1))))
-    once = joined.select("*", F.explode(F.array(F.struct(late_lines.alias("x"), late_places.alias("c")))).alias("_o"))
-    once = once.select("*", F.col("_o.x").alias("_x"), F.col("_o.c").alias("_c"))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_x") - 1), F.col("_c")), lambda i: F.get("_x", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    covered = F.array_distinct(F.flatten(F.transform("_gone", lambda p: F.sequence(p, p + lines - 1))))
+
+    def kept(x: Column) -> Column:
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), covered), lambda i: F.get(x, i)), "\n")
+
+    # a lambda's variable holds the lines, so that a text is split once and no row carries it twice
+    rest = F.get(F.transform(F.array(F.split("text", "\n", -1)), kept), F.lit(0))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)
     n_lines = F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")) + 1, F.lit(0)).cast("long")
     columns = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return once.select(*columns, n_lines.alias("_n_lines"), F.coalesce(F.size("_c"), F.lit(0)).cast("long").alias("_n_removed"))
+    return joined.select(*columns, n_lines.alias("_n_lines"), F.coalesce(F.size(covered), F.lit(0)).cast("long").alias("_n_removed"))
 
 
 def query(spark, sf_dir):
