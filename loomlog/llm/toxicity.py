@@ -3,10 +3,11 @@
 Two word models, of toxic and of ordinary texts, are counted over every
 labelled text outside the held-out fold.  Words are runs of letters, digits and
 non-ASCII bytes, in lower case, hashed into ``CELLS`` cells.  Probabilities are
-interpolated Kneser-Ney: bigrams between the ``VOCABULARY`` most frequent words
-back off to words, and words back off to continuation counts (how many
-different words stand before a word) that both classes share, so a rare
-expression differs between the classes only by what was seen of it.
+interpolated Kneser-Ney: bigrams of any two adjacent words back off to words,
+and words back off to continuation counts (how many different words stand
+before a word) that both classes share, so a rare expression differs between
+the classes only by what was seen of it.  Every pair is counted; a continuation
+count is the number of distinct pairs.
 
 Beside words, the models count stems (a word's first ``STEM`` characters) in the
 same way, so that a form never seen before is judged by its family.
@@ -17,9 +18,15 @@ turns these into a probability.  It is fitted on at most ``SAMPLE`` texts of
 one fold, scored by models that were counted on the other two; the models used
 for all other scores are counted on all three.
 
-All tables have fixed sizes.  Counts leave a task as packed ranges of cells;
-labels are broadcast if there are ``LABELS`` or fewer and joined by a shuffle
-otherwise.
+The table of pairs grows with the labelled texts and stays on the executors, in
+parts of some ``PART`` words' pairs.  A block of ``WORDS`` words of the texts
+to score asks each part for the counts of its own distinct pairs; the answers
+lie in the shared folder, one file for a block, under the hash of the pairs
+that it asked for, until the same texts are read again and scored.  A partition
+must therefore hold the same rows both times, as those of stored tables do; a
+missing answer is an error.  Tables by cell have fixed sizes and leave a task
+as packed ranges.  Labels are broadcast if there are ``LABELS`` or fewer and
+joined by a shuffle otherwise.
 
 Cases: a null or empty text has no words and gets the curve's value for none; a null doc_id is
 never labelled and not held out; repeated rows are counted and scored as often
@@ -30,10 +37,13 @@ are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +54,11 @@ BITS = 21
 CELLS = 1 << BITS
 RANGES = 64
 SALTS = 16  # first step of merging the tasks' counts
-VOCABULARY = 1024
+PART = 1 << 20  # words of the labelled texts whose pairs make one part of the pair table, about
+WORDS = 1 << 22  # words of a block, about
+PAIRS = np.uint64((1 << 2 * BITS) - 1)
+ODD = np.uint64(0x9E3779B97F4A7C15)
+BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 WINDOWS = (1, 2, 8)
 FEATURES = 1 + 2 * (2 + len(WINDOWS))
 SAMPLE = 20_000
@@ -118,114 +132,276 @@ def _group(toxic: np.ndarray, fold_no: np.ndarray) -> np.ndarray:
     return (toxic == 0).astype(np.int64) + 2 * (fold_no == CURVE)
 
 
-def _sum_packed(rows: DataFrame, names: list[str], combine) -> dict[int, dict[str, np.ndarray]]:
-    """Merge packed ranges (part, blob) on the executors; the result is one blob for each of RANGES parts."""
+def _sum_packed(rows: DataFrame, height: int):
+    """(part, table) of packed tables (part, salt, blob) of ``height`` rows, summed by their first row on the executors."""
 
     def merge(key, group):
         whole = None
         for blob in group.column("blob").to_pylist():
-            whole = combine(whole, np.frombuffer(zlib.decompress(blob), np.int64).reshape(len(names) + 1, -1))
+            whole = _combine(whole, np.frombuffer(zlib.decompress(blob), np.int64).reshape(height, -1))
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "blob": [zlib.compress(whole.tobytes(), 1)]})
 
     schema = "part int, blob binary"
     merged = rows.groupBy("part", "salt").applyInArrow(merge, schema).groupBy("part").applyInArrow(merge, schema)
-    return {r.part: np.frombuffer(zlib.decompress(r.blob), np.int64).reshape(len(names) + 1, -1) for r in merged.collect()}
+    for r in merged.collect():
+        yield r.part, np.frombuffer(zlib.decompress(r.blob), np.int64).reshape(height, -1)
 
 
 def _combine(a, b):
-    """Sum counts and join context bits of the same cells; row 0 holds the cells, the last row the bits."""
+    """Sum the counts of the same cells; row 0 holds the cells, in order."""
     if a is None:
         return b
-    cells, inverse = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
-    out = np.zeros((len(a), len(cells)), np.int64)
-    out[0] = cells
-    left, right = inverse[: a.shape[1]], inverse[a.shape[1] :]
-    out[1:, left] = a[1:]
-    out[1:-1, right] += b[1:-1]
-    out[-1, right] |= b[-1]
-    return out
+    return _summed(np.concatenate([a, b], axis=1))
 
 
-def counts_of(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(5, CELLS) of words and of stems: counts of the four groups, and a 64-bit map of the words that stand before each."""
+def _summed(table: np.ndarray) -> np.ndarray:
+    """One column for each key of row 0, in order, with the sums of the other rows."""
+    table = table[:, np.argsort(table[0], kind="stable")]
+    first = np.flatnonzero(np.r_[True, table[0, 1:] != table[0, :-1]][: table.shape[1]])
+    return np.concatenate([table[:1, first], np.add.reduceat(table[1:], first, axis=1)]) if len(first) else table
+
+
+def _dense(tables: np.ndarray, salt: int):
+    """Packed ranges (part, salt, blob) of dense tables (rows, CELLS) without the cells that are zero throughout."""
     size = CELLS // RANGES
+    for part in range(RANGES):
+        n = tables[:, part * size : part * size + size]
+        seen = np.flatnonzero(n.any(axis=0))
+        if len(seen):
+            table = np.concatenate([seen[None, :] + part * size, n[:, seen]]).astype(np.int64)
+            yield part, salt, zlib.compress(table.tobytes(), 1)
+
+
+def _rows(found, names: list[str], kinds: list[pa.DataType]):
+    for row in found:
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
+
+
+def counts_of(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(4, CELLS) of words and of stems: counts of the four groups."""
 
     def run(batches):
-        salt = TaskContext.get().partitionId() % SALTS
-        counts = np.zeros((2, 4, CELLS), np.int32)
-        before = np.zeros((2, CELLS), np.uint64)
+        counts = np.zeros((8, CELLS), np.int32)
         for b in batches:
             group = _group(b.column(1).to_numpy(), b.column(2).to_numpy())
             for rows, cells, own_stems, doc in _texts(b, 0):
                 g = group[rows][doc]
-                follows = np.flatnonzero(doc[1:] == doc[:-1]) + 1
-                bit = np.uint64(1) << (cells[follows - 1] & 63).astype(np.uint64)
                 for table, c in enumerate((cells, own_stems)):
                     for k in range(4):
-                        np.add.at(counts[table, k], c[g == k], 1)
-                    np.bitwise_or.at(before[table], c[follows], bit)
-        for part in range(2 * RANGES):
-            own = slice(part % RANGES * size, part % RANGES * size + size)
-            n, map_ = counts[part // RANGES][:, own], before[part // RANGES][own]
-            seen = np.flatnonzero(n.any(axis=0))
-            if len(seen):
-                table = np.concatenate([seen[None, :], n[:, seen], map_[seen].view(np.int64)[None, :]]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([salt], pa.int32()), pa.array([zlib.compress(table.tobytes(), 1)])], ["part", "salt", "blob"])
+                        np.add.at(counts[4 * table + k], c[g == k], 1)
+        yield from _rows(_dense(counts, TaskContext.get().partitionId() % SALTS), ["part", "salt", "blob"], [pa.int32(), pa.int32(), pa.binary()])
 
     rows = labelled.select("text", "toxic", "fold").mapInArrow(run, "part int, salt int, blob binary")
-    out = np.zeros((5, 2 * CELLS), np.int64)
-    for part, table in _sum_packed(rows, ["a", "b", "c", "d", "e"], _combine).items():
-        out[:, part * size + table[0]] = table[1:]
-    return out[:, :CELLS], out[:, CELLS:]
+    out = np.zeros((8, CELLS), np.int64)
+    for _, table in _sum_packed(rows, 9):
+        out[:, table[0]] = table[1:]
+    return out[:4], out[4:]
 
 
 def word_counts(labelled: DataFrame) -> np.ndarray:
     return counts_of(labelled)[0]
 
 
-def pair_counts(labelled: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
-    """(4, VOCABULARY, VOCABULARY): counts of the four groups of adjacent frequent words."""
-    number = np.full(CELLS, -1, np.int16)
-    number[vocabulary] = np.arange(len(vocabulary))
-    shared = labelled.sparkSession.sparkContext.broadcast(number)
+def _keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairs of cells as numbers below 2**(2 * BITS), spread evenly and without loss."""
+    return ((a.astype(np.uint64) << np.uint64(BITS) | b.astype(np.uint64)) * ODD) & PAIRS
+
+
+def _cells(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    both = ((keys.astype(np.uint64) * BACK) & PAIRS).astype(np.int64)
+    return both >> BITS, both & (CELLS - 1)
+
+
+def _pack(table: np.ndarray) -> bytes:
+    """An int64 table by planes of bytes; row 0 as steps, which are small in ordered keys."""
+    steps = np.concatenate([np.diff(table[:1], prepend=0), table[1:]]).astype(np.int64)
+    return zlib.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpack(blob: bytes, height: int) -> np.ndarray:
+    table = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1).T.copy().view(np.int64).reshape(height, -1)
+    table[0] = np.cumsum(table[0])
+    return table
+
+
+def _by_part(table: np.ndarray, parts: int):
+    """(part, packed columns) of a table whose row 0 has ordered keys."""
+    edges = np.searchsorted(table[0], np.arange(parts + 1) * ((int(PAIRS) + 1) // parts))
+    for part in range(parts):
+        if edges[part] < edges[part + 1]:
+            yield part, _pack(table[:, edges[part] : edges[part + 1]])
+
+
+def _follows(doc: np.ndarray) -> np.ndarray:
+    """Places of the words that stand after another word of their text."""
+    return np.flatnonzero(doc[1:] == doc[:-1]) + 1
+
+
+def pair_counts(labelled: DataFrame, parts: int) -> DataFrame:
+    """(kind, part, blob), written: kind 0 has the pairs of adjacent words with the counts of the four groups, kind 1 stems with the number of different words before them, to be summed over the parts."""
+
+    def counted(held):
+        keys, n = np.unique(np.concatenate([k for k, _ in held]), return_counts=True)
+        table = np.zeros((5, len(keys)), np.int64)
+        table[0] = keys >> np.uint64(2)
+        table[1 + (keys & np.uint64(3)).astype(np.int64), np.arange(len(keys))] = n
+        yield from ((0, *x) for x in _by_part(_summed(table), parts))
+        yield from ((1, *x) for x in _by_part(np.unique(np.concatenate([k for _, k in held]))[None, :].astype(np.int64), parts))
 
     def run(batches):
-        salt = TaskContext.get().partitionId() % SALTS
-        counts = np.zeros(4 * VOCABULARY * VOCABULARY, np.int32)
+        held, n = [], 0
         for b in batches:
-            group = _group(b.column(1).to_numpy(), b.column(2).to_numpy())
-            for rows, cells, _, doc in _texts(b, 0):
-                v = shared.value[cells].astype(np.int64)
-                at = np.flatnonzero((doc[1:] == doc[:-1]) & (v[1:] >= 0) & (v[:-1] >= 0))
-                np.add.at(counts, (group[rows][doc[at]] * VOCABULARY + v[at]) * VOCABULARY + v[at + 1], 1)
-        size = len(counts) // RANGES
-        for part in range(RANGES):
-            own = counts[part * size : part * size + size]
-            seen = np.flatnonzero(own)
-            if len(seen):
-                table = np.stack([seen, own[seen], np.zeros(len(seen), np.int64)]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([salt], pa.int32()), pa.array([zlib.compress(table.tobytes(), 1)])], ["part", "salt", "blob"])
+            group = _group(b.column(1).to_numpy(), b.column(2).to_numpy()).astype(np.uint64)
+            for rows, cells, own_stems, doc in _texts(b, 0):
+                at = _follows(doc)
+                held.append((_keys(cells[at - 1], cells[at]) << np.uint64(2) | group[rows][doc[at]], _keys(cells[at - 1], own_stems[at])))
+                n += len(at)
+                if n >= WORDS:
+                    yield from _rows(counted(held), ["kind", "part", "blob"], [pa.int32(), pa.int32(), pa.binary()])
+                    held, n = [], 0
+        if n:
+            yield from _rows(counted(held), ["kind", "part", "blob"], [pa.int32(), pa.int32(), pa.binary()])
+
+    def merge(key, group):
+        kind, part = key[0].as_py(), key[1].as_py()
+        table = np.concatenate([_unpack(x, 1 if kind else 5) for x in group.column("blob").to_pylist()], axis=1)
+        if kind:
+            table = np.stack(np.unique(_cells(np.unique(table[0]))[1], return_counts=True))
+        else:
+            table = _summed(table)
+        return pa.table({"kind": pa.array([kind], pa.int32()), "part": pa.array([part], pa.int32()), "blob": [_pack(table)]})
+
+    schema = "kind int, part int, blob binary"
+    return common.cut(labelled.select("text", "toxic", "fold").mapInArrow(run, schema).groupBy("kind", "part").applyInArrow(merge, schema))
 
-    rows = labelled.select("text", "toxic", "fold").mapInArrow(run, "part int, salt int, blob binary")
-    out = np.zeros(4 * VOCABULARY * VOCABULARY, np.int64)
-    for part, table in _sum_packed(rows, ["n", "z"], _combine).items():
-        out[part * (len(out) // RANGES) + table[0]] = table[1]
-    return out.reshape(4, VOCABULARY, VOCABULARY)
 
+#: Sums over groups: toxic and ordinary texts of the folds before the curve's, then of all folds.
+_SUMS = ((0,), (1,), (0, 2), (1, 3))
 
-def _discount(counts: np.ndarray) -> float:
-    one, two = int((counts == 1).sum()), int((counts == 2).sum())
+
+def pair_totals(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(10, CELLS): for each of _SUMS a word's count before others and the different words after it, then the different words before each word and before each stem; (4, 2): how many pairs were seen once and twice."""
+
+    def run(batches):
+        out, few, salt = np.zeros((10, CELLS), np.int64), np.zeros(8, np.int64), TaskContext.get().partitionId() % SALTS
+        for b in batches:
+            for kind, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if kind:
+                    cells, n = _unpack(blob, 2)
+                    out[9, cells] += n
+                    continue
+                table = _unpack(blob, 5)
+                left, right = _cells(table[0])
+                np.add.at(out[8], right, 1)
+                for k, groups in enumerate(_SUMS):
+                    n = sum(table[1 + g] for g in groups)
+                    np.add.at(out[k], left, n)
+                    np.add.at(out[4 + k], left[n > 0], 1)
+                    few[2 * k : 2 * k + 2] += (n == 1).sum(), (n == 2).sum()
+        table = np.zeros((11, 8), np.int64)
+        table[0], table[1] = np.arange(8), few
+        yield from _rows([*_dense(out, salt), (-1, salt, zlib.compress(table.tobytes(), 1))], ["part", "salt", "blob"], [pa.int32(), pa.int32(), pa.binary()])
+
+    out, few = np.zeros((10, CELLS), np.int64), np.zeros(8, np.int64)
+    for part, table in _sum_packed(pairs.select("kind", "blob").mapInArrow(run, "part int, salt int, blob binary"), 11):
+        if part < 0:
+            few += table[1]
+        else:
+            out[:, table[0]] = table[1:]
+    return out, few.reshape(4, 2)
+
+
+def _blocks(batches, column: int):
+    """Blocks of some WORDS words: lists of (the rows' other columns, cells, stems, documents) and the pairs of each."""
+    block, n = [], 0
+    for b in batches:
+        others = [k for k in range(b.num_columns) if k != column]
+        for rows, cells, own_stems, doc in _texts(b, column):
+            own = b.select(others).take(pa.array(range(rows.start, rows.stop)))  # a slice would hold the texts
+            at = _follows(doc)
+            block.append((own, cells.astype(np.int32), own_stems.astype(np.int32), doc.astype(np.int32), _keys(cells[at - 1], cells[at])))
+            n += len(cells)
+            if n >= WORDS:
+                yield block
+                block, n = [], 0
+    if block:
+        yield block
+
+
+def _name(keys: np.ndarray) -> str:
+    return hashlib.blake2b(keys.tobytes(), digest_size=16).hexdigest()
+
+
+def answered(texts: DataFrame, column: int, pairs: DataFrame, parts: int, sums) -> str:
+    """The folder of the counts, summed over the groups in ``sums``, of the pairs in each block of ``texts``."""
+    folder = f"{common.shared_dir(texts.sparkSession)}/pairs-{uuid.uuid4().hex}"
+
+    def ask(batches):
+        for block in _blocks(batches, column):
+            keys = np.unique(np.concatenate([x[-1] for x in block]))
+            name = _name(keys)
+            yield from _rows(((part, name, blob) for part, blob in _by_part(keys[None, :].astype(np.int64), parts)), ["part", "block", "blob"], [pa.int32(), pa.string(), pa.binary()])
+
+    def answer(key, asked, known):
+        table = _summed(np.concatenate([np.zeros((5, 0), np.int64), *(_unpack(x, 5) for x in known.column("blob").to_pylist())], axis=1))
+        counts = np.stack([sum(table[1 + g] for g in groups) for groups in sums])
+        blobs = []
+        for blob in asked.column("blob").to_pylist():
+            keys = _unpack(blob, 1)[0]
+            found = np.zeros((1 + len(sums), len(keys)), np.int64)
+            if table.shape[1]:
+                at = np.minimum(np.searchsorted(table[0], keys), table.shape[1] - 1)
+                found[1:] = np.where(table[0, at] == keys, counts[:, at], 0)
+            blobs.append(_pack(found))
+        return pa.table({"block": asked.column("block"), "part": asked.column("part"), "blob": pa.array(blobs, pa.binary())})
+
+    def keep(key, group):
+        block = key[0].as_py()
+        found = dict(zip(group.column("part").to_pylist(), group.column("blob").to_pylist(), strict=True))  # equal blocks have equal answers
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path)
+        own = f"{path}/{uuid.uuid4().hex}.tmp"
+        with store.open_output_stream(own) as f:
+            f.write(_pack(np.concatenate([_unpack(found[p], 1 + len(sums)) for p in sorted(found)], axis=1)))
+        store.move(own, f"{path}/{block}")
+        return pa.table({"block": [block]})
+
+    asked = texts.mapInArrow(ask, "part int, block string, blob binary")
+    known = pairs.where("kind = 0").select("part", "blob")
+    found = asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(answer, "block string, part int, blob binary")
+    found.groupBy("block").applyInArrow(keep, "block string").count()
+    return folder
+
+
+def _with_counts(batches, column: int, folder: str, height: int):
+    """(other columns, cells, stems, documents, counts of each pair) from what ``answered`` left in ``folder``."""
+    for block in _blocks(batches, column):
+        keys, at = np.unique(np.concatenate([x[-1] for x in block]), return_inverse=True)
+        counts = np.zeros((height, 0), np.int64)
+        if len(keys):
+            store, path = fs.FileSystem.from_uri(folder)
+            try:
+                with store.open_input_stream(f"{path}/{_name(keys)}") as f:
+                    counts = _unpack(f.read(), 1 + height)[1:]
+            except FileNotFoundError as e:
+                raise ValueError("a partition had other rows when it was read again: store the table first") from e
+        done = 0
+        for own, cells, own_stems, doc, asked in block:
+            yield own, cells, own_stems, doc, counts[:, at[done : done + len(asked)]]
+            done += len(asked)
+
+
+def _discount(one: int, two: int) -> float:
     return one / (one + 2 * two) if one else 0.5
 
 
 def _smoothed(counts: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
     """Probabilities in toxic and ordinary texts; both back off to one table of continuation counts."""
-    zeros = np.maximum(64 - np.bitwise_count(before.view(np.uint64)).astype(np.float64), 0.5)
-    shared = 64 * np.log(64 / zeros) + 0.5
+    shared = before + 0.5
     shared /= shared.sum()
     out = []
     for c in counts:
-        total, d = max(1, c.sum()), _discount(c)
+        total, d = max(1, c.sum()), _discount(int((c == 1).sum()), int((c == 2).sum()))
         out.append((np.maximum(c - d, 0) + (d * (c > 0).sum() if c.any() else 1.0) * shared) / total)
     return out
 
@@ -233,31 +409,27 @@ def _smoothed(counts: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
 class Model:
     """Interpolated Kneser-Ney log-ratios (toxic to ordinary) of words after words, and of words' stems."""
 
-    def __init__(self, words: np.ndarray, before: np.ndarray, pairs: np.ndarray, vocabulary: np.ndarray, stem_counts: np.ndarray, stem_before: np.ndarray):
-        """words and stem_counts (2, CELLS) and pairs (2, V, V): counts of the toxic and of the ordinary texts."""
-        self.number = np.full(CELLS, -1, np.int16)
-        self.number[vocabulary] = np.arange(len(vocabulary))
-        single = _smoothed(words, before)
-        self.single = np.log(single[0] / single[1]).astype(np.float32)
+    def __init__(self, words: np.ndarray, before: np.ndarray, totals: np.ndarray, types: np.ndarray, few: np.ndarray, stem_counts: np.ndarray, stem_before: np.ndarray):
+        """words, stem_counts, totals and types (2, CELLS) and few (2, 2): of the toxic and of the ordinary texts."""
+        self.word = np.stack(_smoothed(words, before)).astype(np.float32)
         stem = _smoothed(stem_counts, stem_before)
         self.stem = np.log(stem[0] / stem[1]).astype(np.float32)
-        after = []
-        for c, p in zip(pairs, single, strict=True):
-            n, d = c.sum(axis=1), _discount(c)
-            rest = np.where(n > 0, d * (c > 0).sum(axis=1) / np.maximum(n, 1), 1.0)
-            own = p[vocabulary]
-            after.append(np.maximum(c - d, 0)[: len(vocabulary), : len(vocabulary)] / np.maximum(n, 1)[: len(vocabulary), None] + rest[: len(vocabulary), None] * own[None, :])
-        self.pair = np.log(after[0] / after[1]).astype(np.float32) if len(vocabulary) else np.zeros((1, 1), np.float32)
-
-    def ratios(self, cells: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        out = self.single[cells].astype(np.float64)
-        v = self.number[cells].astype(np.int64)
-        at = np.flatnonzero((doc[1:] == doc[:-1]) & (v[1:] >= 0) & (v[:-1] >= 0)) + 1
-        out[at] = self.pair[v[at - 1], v[at]]
-        return out
-
-
-def features(model: Model, cells: np.ndarray, own_stems: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+        self.discount = [_discount(*map(int, x)) for x in few]
+        self.total = np.maximum(totals, 1).astype(np.float32)
+        self.rest = np.stack([np.where(n > 0, d * t / np.maximum(n, 1), 1.0) for n, t, d in zip(totals, types, self.discount, strict=True)]).astype(np.float32)
+
+    def ratios(self, cells: np.ndarray, doc: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """counts: (2, pairs), of each word that stands after another with that other."""
+        at = _follows(doc)
+        left, logs = cells[at - 1], []
+        for k in (0, 1):
+            p = self.word[k][cells].astype(np.float64)
+            p[at] = np.maximum(counts[k] - self.discount[k], 0) / self.total[k][left] + self.rest[k][left] * p[at]
+            logs.append(np.log(p))
+        return logs[0] - logs[1]
+
+
+def features(model: Model, cells: np.ndarray, own_stems: np.ndarray, doc: np.ndarray, counts: np.ndarray, n_docs: int) -> np.ndarray:
     """(n_docs, FEATURES): log length, then for words and for stems the normalised log-ratio of the text, its sum by root of length, and the best passages'."""
     out = np.zeros((n_docs, FEATURES))
     if not len(cells):
@@ -268,7 +440,7 @@ def features(model: Model, cells: np.ndarray, own_stems: np.ndarray, doc: np.nda
     begin, at = first[doc], np.arange(len(cells))
     out[:, 0] = np.log1p(n)
     k = 1
-    for r in (model.ratios(cells, doc), model.stem[own_stems].astype(np.float64)):
+    for r in (model.ratios(cells, doc, counts), model.stem[own_stems].astype(np.float64)):
         total = np.bincount(doc, weights=r, minlength=n_docs)
         out[some, k] = total[some] / n[some]
         out[some, k + 1] = total[some] / np.sqrt(n[some])
@@ -308,34 +480,39 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
 
 
 def train(docs: DataFrame, labels: DataFrame):
-    """The model over all labelled rows outside the held-out fold, and its curve; None without labels of both kinds."""
+    """The model over all labelled rows outside the held-out fold, its curve and its table of pairs; None without labels of both kinds."""
     labelled = _labelled(docs, labels)
     words, by_stem = counts_of(labelled)
     if not words[[0, 2]].any() or not words[[1, 3]].any():
         return None
-    pooled = words[:4].sum(axis=0)
-    vocabulary = np.argsort(-pooled, kind="stable")[:VOCABULARY]
-    vocabulary = vocabulary[pooled[vocabulary] > 0]
-    pairs = pair_counts(labelled, vocabulary)
-    partial = Model(words[:2], words[4], pairs[:2], vocabulary, by_stem[:2], by_stem[4])
-    whole = Model(words[:2] + words[2:4], words[4], pairs[:2] + pairs[2:], vocabulary, by_stem[:2] + by_stem[2:4], by_stem[4])
+    parts = 1 << max(0, int(words.sum()) // PART).bit_length()
+    pairs = pair_counts(labelled, parts)
+    totals, few = pair_totals(pairs)
+    partial = Model(words[:2], totals[8], totals[:2], totals[4:6], few[:2], by_stem[:2], totals[9])
+    whole = Model(words[:2] + words[2:], totals[8], totals[2:4], totals[6:8], few[2:], by_stem[:2] + by_stem[2:], totals[9])
+    del words, by_stem, totals
     drawn = labelled.where(F.col("fold") == CURVE).select("_id", "text", "toxic")
     n = common.cut(drawn.select("_id")).count()
     if n > SAMPLE:
         drawn = drawn.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE / n))
+    if labels.limit(LABELS + 1).count() > LABELS:  # joined by a shuffle: read the same rows twice
+        drawn = common.cut(drawn)
+    folder = answered(drawn, 1, pairs, parts, _SUMS[:2])
     shared = docs.sparkSession.sparkContext.broadcast(partial)
 
     def run(batches):
-        for b in batches:
-            for rows, cells, own_stems, doc in _texts(b, 1):
-                x = features(shared.value, cells, own_stems, doc, rows.stop - rows.start)
-                yield pa.RecordBatch.from_arrays([b.column(2).slice(rows.start, len(x)), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
+        for own, cells, own_stems, doc, counts in _with_counts(batches, 1, folder, 2):
+            x = features(shared.value, cells, own_stems, doc, counts, len(own))
+            yield pa.RecordBatch.from_arrays([own.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
 
     got = drawn.mapInArrow(run, "y int, x array<double>").toArrow()
+    shared.destroy()
     y = got.column("y").to_numpy()
     if len(np.unique(y)) < 2:  # too few labels for a curve: compare the likelihoods alone
-        return whole, (np.zeros(FEATURES), np.ones(FEATURES), np.r_[1.0, np.zeros(FEATURES)])
-    return whole, fit_curve(got.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), -1), y)
+        curve = np.zeros(FEATURES), np.ones(FEATURES), np.r_[1.0, np.zeros(FEATURES)]
+    else:
+        curve = fit_curve(got.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), -1), y)
+    return whole, curve, pairs, parts
 
 
 def score(docs: DataFrame, trained) -> DataFrame:
@@ -343,16 +520,16 @@ def score(docs: DataFrame, trained) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long"), (fold(F.col("doc_id").cast("long")) == HELD_OUT).alias("held_out"), F.col("text").cast("string"))
     if trained is None:
         return d.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    shared = docs.sparkSession.sparkContext.broadcast(trained)
+    model, curve, pairs, parts = trained
+    folder = answered(d, 2, pairs, parts, _SUMS[2:])
+    shared = docs.sparkSession.sparkContext.broadcast((model, curve))
 
     def run(batches):
         model, (mean, scale, w) = shared.value
-        for b in batches:
-            for rows, cells, own_stems, doc in _texts(b, 2):
-                x = (features(model, cells, own_stems, doc, rows.stop - rows.start) - mean) / scale
-                s = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-                own = b.slice(rows.start, len(s))
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        for own, cells, own_stems, doc, counts in _with_counts(batches, 2, folder, 2):
+            x = (features(model, cells, own_stems, doc, counts, len(own)) - mean) / scale
+            s = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return d.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
