@@ -19,7 +19,8 @@ one fold, scored by models that were counted on the other two; the models used
 for all other scores are counted on all three.
 
 The table of pairs grows with the labelled texts and stays on the executors, in
-parts of some ``PART`` words' pairs.  A block of ``WORDS`` words of the texts
+parts of some ``PART`` words' pairs; words are numbered by falling frequency
+there, so that ordered pairs lie close together and take few bytes.  A block of ``WORDS`` words of the texts
 to score asks each part for the counts of its own distinct pairs; the answers
 lie in the shared folder, one file for a block, under the hash of the pairs
 that it asked for, until the same texts are read again and scored.  A partition
@@ -54,11 +55,9 @@ BITS = 21
 CELLS = 1 << BITS
 RANGES = 64
 SALTS = 16  # first step of merging the tasks' counts
-PART = 1 << 20  # words of the labelled texts whose pairs make one part of the pair table, about
-WORDS = 1 << 22  # words of a block, about
-PAIRS = np.uint64((1 << 2 * BITS) - 1)
-ODD = np.uint64(0x9E3779B97F4A7C15)
-BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+PART = 1 << 19  # words of the labelled texts whose pairs make one part of the pair table, about
+WORDS = 1 << 21  # words of a block, about
+CHUNK = (1 << 20) - 1  # bytes hashed at once; the hashes keep tables of the next power of two
 WINDOWS = (1, 2, 8)
 FEATURES = 1 + 2 * (2 + len(WINDOWS))
 SAMPLE = 20_000
@@ -108,13 +107,13 @@ def stems(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _texts(batch: pa.RecordBatch, column: int):
-    """(rows, cells, stems, documents) for parts of a batch; documents count from the first row of a part."""
+def _texts(batch: pa.RecordBatch, column: int, stemmed: bool = True):
+    """(rows, cells, stems or None, documents) for parts of a batch; documents count from the first row of a part."""
     data, off = common.text_buffers(batch.column(column))
-    for i, j in common.chunks(off):
+    for i, j in common.chunks(off, CHUNK):
         part = off[i : j + 1] - off[i]
         cells, doc = tokens(data[off[i] : off[j]], part)
-        yield slice(i, j), cells, stems(data[off[i] : off[j]], part), doc
+        yield slice(i, j), cells, stems(data[off[i] : off[j]], part) if stemmed else None, doc
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -138,13 +137,13 @@ def _sum_packed(rows: DataFrame, height: int):
     def merge(key, group):
         whole = None
         for blob in group.column("blob").to_pylist():
-            whole = _combine(whole, np.frombuffer(zlib.decompress(blob), np.int64).reshape(height, -1))
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "blob": [zlib.compress(whole.tobytes(), 1)]})
+            whole = _combine(whole, _unpack(blob, height))
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "blob": [_pack(whole)]})
 
     schema = "part int, blob binary"
     merged = rows.groupBy("part", "salt").applyInArrow(merge, schema).groupBy("part").applyInArrow(merge, schema)
     for r in merged.collect():
-        yield r.part, np.frombuffer(zlib.decompress(r.blob), np.int64).reshape(height, -1)
+        yield r.part, _unpack(r.blob, height)
 
 
 def _combine(a, b):
@@ -154,22 +153,35 @@ def _combine(a, b):
     return _summed(np.concatenate([a, b], axis=1))
 
 
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Where each value of an ordered array begins."""
+    return np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)])
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)  # np.unique alone hashes them, which takes many times as long
+    return keys[_firsts(keys)]
+
+
 def _summed(table: np.ndarray) -> np.ndarray:
     """One column for each key of row 0, in order, with the sums of the other rows."""
-    table = table[:, np.argsort(table[0], kind="stable")]
-    first = np.flatnonzero(np.r_[True, table[0, 1:] != table[0, :-1]][: table.shape[1]])
-    return np.concatenate([table[:1, first], np.add.reduceat(table[1:], first, axis=1)]) if len(first) else table
+    order = np.argsort(table[0], kind="stable")
+    keys = table[0][order]
+    first = _firsts(keys)
+    out = np.zeros((len(table), len(first)), np.int64)
+    out[0] = keys[first]
+    if len(first):
+        for k in range(1, len(table)):  # row by row: a whole copy in order would be as large again
+            out[k] = np.add.reduceat(table[k][order], first)
+    return out
 
 
-def _dense(tables: np.ndarray, salt: int):
-    """Packed ranges (part, salt, blob) of dense tables (rows, CELLS) without the cells that are zero throughout."""
-    size = CELLS // RANGES
-    for part in range(RANGES):
-        n = tables[:, part * size : part * size + size]
+def _dense(ranges, salt: int):
+    """(part, salt, blob) of dense tables of the RANGES ranges of cells without the cells that are zero throughout."""
+    for part, n in enumerate(ranges):
         seen = np.flatnonzero(n.any(axis=0))
         if len(seen):
-            table = np.concatenate([seen[None, :] + part * size, n[:, seen]]).astype(np.int64)
-            yield part, salt, zlib.compress(table.tobytes(), 1)
+            yield part, salt, _pack(np.concatenate([seen[None, :] + part * (CELLS // RANGES), n[:, seen]]).astype(np.int64))
 
 
 def _rows(found, names: list[str], kinds: list[pa.DataType]):
@@ -189,12 +201,13 @@ def counts_of(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 for table, c in enumerate((cells, own_stems)):
                     for k in range(4):
                         np.add.at(counts[4 * table + k], c[g == k], 1)
-        yield from _rows(_dense(counts, TaskContext.get().partitionId() % SALTS), ["part", "salt", "blob"], [pa.int32(), pa.int32(), pa.binary()])
+        yield from _rows(_dense(np.split(counts, RANGES, axis=1), TaskContext.get().partitionId() % SALTS), ["part", "salt", "blob"], [pa.int32(), pa.int32(), pa.binary()])
 
     rows = labelled.select("text", "toxic", "fold").mapInArrow(run, "part int, salt int, blob binary")
     out = np.zeros((8, CELLS), np.int64)
     for _, table in _sum_packed(rows, 9):
         out[:, table[0]] = table[1:]
+    out = out.astype(np.int32 if out.sum() < 2**31 else np.int64)
     return out[:4], out[4:]
 
 
@@ -202,20 +215,42 @@ def word_counts(labelled: DataFrame) -> np.ndarray:
     return counts_of(labelled)[0]
 
 
-def _keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Pairs of cells as numbers below 2**(2 * BITS), spread evenly and without loss."""
-    return ((a.astype(np.uint64) << np.uint64(BITS) | b.astype(np.uint64)) * ODD) & PAIRS
+class Places:
+    """Numbers of words and of stems by falling frequency (-1: never seen), and where the parts of the pair tables begin."""
+
+    def __init__(self, words: np.ndarray, by_stem: np.ndarray, parts: int):
+        """words and by_stem: counts by cell."""
+        self.words, self.stems = self._numbers(words), self._numbers(by_stem)
+        self.edges = self._edges(words, words, parts), self._edges(words, by_stem, parts)
+
+    @staticmethod
+    def _numbers(counts: np.ndarray) -> np.ndarray:
+        out = np.empty(CELLS, np.int32)
+        out[np.argsort(-counts, kind="stable")] = np.arange(CELLS)
+        out[counts == 0] = -1
+        return out
+
+    @staticmethod
+    def _edges(left: np.ndarray, right: np.ndarray, parts: int) -> np.ndarray:
+        """Equal shares of the pairs if neighbours were independent; a frequent word's pairs are split by the second."""
+        share = [np.sort(c)[::-1] / max(1, c.sum()) for c in (left, right)]
+        up_to = [np.cumsum(x) for x in share]
+        at = np.arange(1, parts) / parts
+        a = np.minimum(np.searchsorted(up_to[0], at, side="right"), CELLS - 1)
+        rest = (at - up_to[0][a] + share[0][a]) / np.maximum(share[0][a], 1e-300)
+        b = np.minimum(np.searchsorted(up_to[1], rest, side="right"), CELLS - 1)
+        return np.r_[0, np.maximum.accumulate(a << BITS | b), 1 << 2 * BITS]
 
 
-def _cells(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both = ((keys.astype(np.uint64) * BACK) & PAIRS).astype(np.int64)
-    return both >> BITS, both & (CELLS - 1)
+def _keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One number for each pair of numbers; -1 if either was never seen."""
+    return np.where((a < 0) | (b < 0), -1, a.astype(np.int64) << BITS | b)
 
 
 def _pack(table: np.ndarray) -> bytes:
     """An int64 table by planes of bytes; row 0 as steps, which are small in ordered keys."""
     steps = np.concatenate([np.diff(table[:1], prepend=0), table[1:]]).astype(np.int64)
-    return zlib.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    return zlib.compress(np.ascontiguousarray(steps).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
 def _unpack(blob: bytes, height: int) -> np.ndarray:
@@ -224,12 +259,11 @@ def _unpack(blob: bytes, height: int) -> np.ndarray:
     return table
 
 
-def _by_part(table: np.ndarray, parts: int):
+def _by_part(table: np.ndarray, edges: np.ndarray):
     """(part, packed columns) of a table whose row 0 has ordered keys."""
-    edges = np.searchsorted(table[0], np.arange(parts + 1) * ((int(PAIRS) + 1) // parts))
-    for part in range(parts):
-        if edges[part] < edges[part + 1]:
-            yield part, _pack(table[:, edges[part] : edges[part + 1]])
+    at = np.searchsorted(table[0], edges)
+    for part in np.flatnonzero(at[1:] > at[:-1]).tolist():
+        yield part, _pack(table[:, at[part] : at[part + 1]])
 
 
 def _follows(doc: np.ndarray) -> np.ndarray:
@@ -237,24 +271,26 @@ def _follows(doc: np.ndarray) -> np.ndarray:
     return np.flatnonzero(doc[1:] == doc[:-1]) + 1
 
 
-def pair_counts(labelled: DataFrame, parts: int) -> DataFrame:
-    """(kind, part, blob), written: kind 0 has the pairs of adjacent words with the counts of the four groups, kind 1 stems with the number of different words before them, to be summed over the parts."""
+def pair_counts(labelled: DataFrame, places) -> DataFrame:
+    """(kind, part, blob), written: kind 0 has the pairs of adjacent words with the counts of the four groups, kind 1 stems with the number of different words before them, to be summed over the parts.  Words and stems by their numbers in ``places``, which is broadcast."""
 
     def counted(held):
-        keys, n = np.unique(np.concatenate([k for k, _ in held]), return_counts=True)
-        table = np.zeros((5, len(keys)), np.int64)
-        table[0] = keys >> np.uint64(2)
-        table[1 + (keys & np.uint64(3)).astype(np.int64), np.arange(len(keys))] = n
-        yield from ((0, *x) for x in _by_part(_summed(table), parts))
-        yield from ((1, *x) for x in _by_part(np.unique(np.concatenate([k for _, k in held]))[None, :].astype(np.int64), parts))
+        keys = np.sort(np.concatenate([k for k, _ in held]))
+        own = _firsts(keys)  # a pair and a group
+        pair = _firsts(keys[own] >> 2)
+        table = np.zeros((5, len(pair)), np.int64)
+        table[0] = keys[own[pair]] >> 2
+        table[1 + (keys[own] & 3), np.repeat(np.arange(len(pair)), np.diff(pair, append=len(own)))] = np.diff(own, append=len(keys))
+        yield from ((0, *x) for x in _by_part(table, places.value.edges[0]))
+        yield from ((1, *x) for x in _by_part(_distinct(np.concatenate([k for _, k in held]))[None, :], places.value.edges[1]))
 
     def run(batches):
         held, n = [], 0
         for b in batches:
-            group = _group(b.column(1).to_numpy(), b.column(2).to_numpy()).astype(np.uint64)
+            group = _group(b.column(1).to_numpy(), b.column(2).to_numpy())
             for rows, cells, own_stems, doc in _texts(b, 0):
-                at = _follows(doc)
-                held.append((_keys(cells[at - 1], cells[at]) << np.uint64(2) | group[rows][doc[at]], _keys(cells[at - 1], own_stems[at])))
+                at, numbers = _follows(doc), places.value.words[cells]
+                held.append((_keys(numbers[at - 1], numbers[at]) << 2 | group[rows][doc[at]], _keys(numbers[at - 1], places.value.stems[own_stems[at]])))
                 n += len(at)
                 if n >= WORDS:
                     yield from _rows(counted(held), ["kind", "part", "blob"], [pa.int32(), pa.int32(), pa.binary()])
@@ -266,7 +302,7 @@ def pair_counts(labelled: DataFrame, parts: int) -> DataFrame:
         kind, part = key[0].as_py(), key[1].as_py()
         table = np.concatenate([_unpack(x, 1 if kind else 5) for x in group.column("blob").to_pylist()], axis=1)
         if kind:
-            table = np.stack(np.unique(_cells(np.unique(table[0]))[1], return_counts=True))
+            table = np.stack(np.unique(_distinct(table[0]) & (CELLS - 1), return_counts=True))
         else:
             table = _summed(table)
         return pa.table({"kind": pa.array([kind], pa.int32()), "part": pa.array([part], pa.int32()), "blob": [_pack(table)]})
@@ -279,47 +315,64 @@ def pair_counts(labelled: DataFrame, parts: int) -> DataFrame:
 _SUMS = ((0,), (1,), (0, 2), (1, 3))
 
 
-def pair_totals(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(10, CELLS): for each of _SUMS a word's count before others and the different words after it, then the different words before each word and before each stem; (4, 2): how many pairs were seen once and twice."""
+def pair_totals(pairs: DataFrame, places: Places, dtype: type = np.int64) -> tuple[np.ndarray, np.ndarray]:
+    """(10, CELLS): for each of _SUMS a word's count before others and the different words after it, then the different words before each word and before each stem; (4, 2): how many pairs were seen once and twice.  Of a type that holds them all."""
 
     def run(batches):
-        out, few, salt = np.zeros((10, CELLS), np.int64), np.zeros(8, np.int64), TaskContext.get().partitionId() % SALTS
+        lefts, rights = [np.zeros((9, 0), np.int64)], np.zeros((2, CELLS), np.int64)
+        few, salt = np.zeros(8, np.int64), TaskContext.get().partitionId() % SALTS
         for b in batches:
             for kind, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if kind:
-                    cells, n = _unpack(blob, 2)
-                    out[9, cells] += n
+                    own, n = _unpack(blob, 2)
+                    rights[1, own] += n
                     continue
                 table = _unpack(blob, 5)
-                left, right = _cells(table[0])
-                np.add.at(out[8], right, 1)
+                np.add.at(rights[0], table[0] & (CELLS - 1), 1)
+                first = _firsts(table[0] >> BITS)
+                left = np.zeros((9, len(first)), np.int64)
+                left[0] = table[0, first] >> BITS
                 for k, groups in enumerate(_SUMS):
                     n = sum(table[1 + g] for g in groups)
-                    np.add.at(out[k], left, n)
-                    np.add.at(out[4 + k], left[n > 0], 1)
+                    left[1 + k] = np.add.reduceat(n, first)
+                    left[5 + k] = np.add.reduceat((n > 0).astype(np.int64), first)
                     few[2 * k : 2 * k + 2] += (n == 1).sum(), (n == 2).sum()
+                lefts.append(left)
+        left, size = _summed(np.concatenate(lefts, axis=1)), CELLS // RANGES
+
+        def ranges():
+            for part in range(RANGES):
+                i, j = np.searchsorted(left[0], [part * size, part * size + size])
+                n = np.zeros((10, size), np.int64)
+                n[:8, left[0, i:j] - part * size] = left[1:, i:j]
+                n[8:] = rights[:, part * size : part * size + size]
+                yield n
+
         table = np.zeros((11, 8), np.int64)
         table[0], table[1] = np.arange(8), few
-        yield from _rows([*_dense(out, salt), (-1, salt, zlib.compress(table.tobytes(), 1))], ["part", "salt", "blob"], [pa.int32(), pa.int32(), pa.binary()])
+        yield from _rows([(-1, salt, _pack(table))], ["part", "salt", "blob"], [pa.int32(), pa.int32(), pa.binary()])
+        yield from _rows(_dense(ranges(), salt), ["part", "salt", "blob"], [pa.int32(), pa.int32(), pa.binary()])
 
-    out, few = np.zeros((10, CELLS), np.int64), np.zeros(8, np.int64)
+    cells = [np.argsort(np.where(x < 0, CELLS, x), kind="stable") for x in (places.words, places.stems)]
+    out, few = np.zeros((10, CELLS), dtype), np.zeros(8, np.int64)
     for part, table in _sum_packed(pairs.select("kind", "blob").mapInArrow(run, "part int, salt int, blob binary"), 11):
         if part < 0:
             few += table[1]
         else:
-            out[:, table[0]] = table[1:]
+            out[:9, cells[0][table[0]]] = table[1:10]
+            out[9, cells[1][table[0]]] = table[10]
     return out, few.reshape(4, 2)
 
 
-def _blocks(batches, column: int):
+def _blocks(batches, column: int, places, stemmed: bool = True):
     """Blocks of some WORDS words: lists of (the rows' other columns, cells, stems, documents) and the pairs of each."""
     block, n = [], 0
     for b in batches:
         others = [k for k in range(b.num_columns) if k != column]
-        for rows, cells, own_stems, doc in _texts(b, column):
+        for rows, cells, own_stems, doc in _texts(b, column, stemmed):
             own = b.select(others).take(pa.array(range(rows.start, rows.stop)))  # a slice would hold the texts
-            at = _follows(doc)
-            block.append((own, cells.astype(np.int32), own_stems.astype(np.int32), doc.astype(np.int32), _keys(cells[at - 1], cells[at])))
+            at, numbers = _follows(doc), places.value.words[cells]
+            block.append((own, cells.astype(np.int32), own_stems.astype(np.int32) if stemmed else None, doc.astype(np.int32), _keys(numbers[at - 1], numbers[at])))
             n += len(cells)
             if n >= WORDS:
                 yield block
@@ -332,18 +385,19 @@ def _name(keys: np.ndarray) -> str:
     return hashlib.blake2b(keys.tobytes(), digest_size=16).hexdigest()
 
 
-def answered(texts: DataFrame, column: int, pairs: DataFrame, parts: int, sums) -> str:
-    """The folder of the counts, summed over the groups in ``sums``, of the pairs in each block of ``texts``."""
+def answered(texts: DataFrame, column: int, pairs: DataFrame, places, sums) -> str:
+    """The folder of the counts, summed over the groups in ``sums``, of the pairs in each block of ``texts``; pairs with a word that was never seen need no answer."""
     folder = f"{common.shared_dir(texts.sparkSession)}/pairs-{uuid.uuid4().hex}"
 
     def ask(batches):
-        for block in _blocks(batches, column):
-            keys = np.unique(np.concatenate([x[-1] for x in block]))
+        for block in _blocks(batches, column, places, stemmed=False):
+            keys = _distinct(np.concatenate([x[-1] for x in block]))
+            keys = keys[keys >= 0]
             name = _name(keys)
-            yield from _rows(((part, name, blob) for part, blob in _by_part(keys[None, :].astype(np.int64), parts)), ["part", "block", "blob"], [pa.int32(), pa.string(), pa.binary()])
+            yield from _rows(((part, name, blob) for part, blob in _by_part(keys[None, :], places.value.edges[0])), ["part", "block", "blob"], [pa.int32(), pa.string(), pa.binary()])
 
     def answer(key, asked, known):
-        table = _summed(np.concatenate([np.zeros((5, 0), np.int64), *(_unpack(x, 5) for x in known.column("blob").to_pylist())], axis=1))
+        table = np.concatenate([np.zeros((5, 0), np.int64), *(_unpack(x, 5) for x in known.column("blob").to_pylist())], axis=1)  # one row or none
         counts = np.stack([sum(table[1 + g] for g in groups) for groups in sums])
         blobs = []
         for blob in asked.column("blob").to_pylist():
@@ -373,16 +427,17 @@ def answered(texts: DataFrame, column: int, pairs: DataFrame, parts: int, sums)
     return folder
 
 
-def _with_counts(batches, column: int, folder: str, height: int):
+def _with_counts(batches, column: int, places, folder: str, height: int):
     """(other columns, cells, stems, documents, counts of each pair) from what ``answered`` left in ``folder``."""
-    for block in _blocks(batches, column):
+    for block in _blocks(batches, column, places):
         keys, at = np.unique(np.concatenate([x[-1] for x in block]), return_inverse=True)
-        counts = np.zeros((height, 0), np.int64)
-        if len(keys):
+        unseen = int(len(keys) > 0 and keys[0] < 0)
+        counts = np.zeros((height, len(keys)), np.int64)
+        if len(keys) > unseen:
             store, path = fs.FileSystem.from_uri(folder)
             try:
-                with store.open_input_stream(f"{path}/{_name(keys)}") as f:
-                    counts = _unpack(f.read(), 1 + height)[1:]
+                with store.open_input_stream(f"{path}/{_name(keys[unseen:])}") as f:
+                    counts[:, unseen:] = _unpack(f.read(), 1 + height)[1:]
             except FileNotFoundError as e:
                 raise ValueError("a partition had other rows when it was read again: store the table first") from e
         done = 0
@@ -485,34 +540,36 @@ def train(docs: DataFrame, labels: DataFrame):
     words, by_stem = counts_of(labelled)
     if not words[[0, 2]].any() or not words[[1, 3]].any():
         return None
-    parts = 1 << max(0, int(words.sum()) // PART).bit_length()
-    pairs = pair_counts(labelled, parts)
-    totals, few = pair_totals(pairs)
-    partial = Model(words[:2], totals[8], totals[:2], totals[4:6], few[:2], by_stem[:2], totals[9])
-    whole = Model(words[:2] + words[2:], totals[8], totals[2:4], totals[6:8], few[2:], by_stem[:2] + by_stem[2:], totals[9])
-    del words, by_stem, totals
+    places = docs.sparkSession.sparkContext.broadcast(Places(words.sum(axis=0), by_stem.sum(axis=0), 1 + int(words.sum()) // PART))
+    pairs = pair_counts(labelled, places)
+    totals, few = pair_totals(pairs, places.value, words.dtype)
     drawn = labelled.where(F.col("fold") == CURVE).select("_id", "text", "toxic")
     n = common.cut(drawn.select("_id")).count()
     if n > SAMPLE:
         drawn = drawn.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE / n))
     if labels.limit(LABELS + 1).count() > LABELS:  # joined by a shuffle: read the same rows twice
         drawn = common.cut(drawn)
-    folder = answered(drawn, 1, pairs, parts, _SUMS[:2])
-    shared = docs.sparkSession.sparkContext.broadcast(partial)
+    folder = answered(drawn, 1, pairs, places, _SUMS[:2])
+    shared = docs.sparkSession.sparkContext.broadcast(Model(words[:2], totals[8], totals[:2], totals[4:6], few[:2], by_stem[:2], totals[9]))
 
     def run(batches):
-        for own, cells, own_stems, doc, counts in _with_counts(batches, 1, folder, 2):
+        for own, cells, own_stems, doc, counts in _with_counts(batches, 1, places, folder, 2):
             x = features(shared.value, cells, own_stems, doc, counts, len(own))
             yield pa.RecordBatch.from_arrays([own.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
 
     got = drawn.mapInArrow(run, "y int, x array<double>").toArrow()
     shared.destroy()
+    del shared, run  # before the other model: the driver holds one at a time
+    store, path = fs.FileSystem.from_uri(folder)
+    if store.get_file_info(path).type == fs.FileType.Directory:
+        store.delete_dir(path)
     y = got.column("y").to_numpy()
     if len(np.unique(y)) < 2:  # too few labels for a curve: compare the likelihoods alone
         curve = np.zeros(FEATURES), np.ones(FEATURES), np.r_[1.0, np.zeros(FEATURES)]
     else:
         curve = fit_curve(got.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), -1), y)
-    return whole, curve, pairs, parts
+    whole = Model(words[:2] + words[2:], totals[8], totals[2:4], totals[6:8], few[2:], by_stem[:2] + by_stem[2:], totals[9])
+    return whole, curve, pairs, places
 
 
 def score(docs: DataFrame, trained) -> DataFrame:
@@ -520,13 +577,13 @@ def score(docs: DataFrame, trained) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long"), (fold(F.col("doc_id").cast("long")) == HELD_OUT).alias("held_out"), F.col("text").cast("string"))
     if trained is None:
         return d.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    model, curve, pairs, parts = trained
-    folder = answered(d, 2, pairs, parts, _SUMS[2:])
+    model, curve, pairs, places = trained
+    folder = answered(d, 2, pairs, places, _SUMS[2:])
     shared = docs.sparkSession.sparkContext.broadcast((model, curve))
 
     def run(batches):
         model, (mean, scale, w) = shared.value
-        for own, cells, own_stems, doc, counts in _with_counts(batches, 2, folder, 2):
+        for own, cells, own_stems, doc, counts in _with_counts(batches, 2, places, folder, 2):
             x = (features(model, cells, own_stems, doc, counts, len(own)) - mean) / scale
             s = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])

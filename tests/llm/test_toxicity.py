@@ -105,7 +105,7 @@ def test_ratios_match_brute_force_kneser_ney(spark):
     docs = [(i, " ".join("w%d" % int(rnd.paretovariate(0.4)) for _ in range(rnd.randrange(90)))) for i in range(400)]
     labels = [(i, 1, int(i % 4 == 0)) for i, _ in docs if i % 5]
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    model, _, pairs, parts = toxicity.train(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    model, _, pairs, places = toxicity.train(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     words, couples = [Counter(), Counter()], [Counter(), Counter()]
     for i, t in docs:
         if i % 5 and zlib.crc32(str(i).encode()) % 4 != 2:
@@ -129,11 +129,11 @@ def test_ratios_match_brute_force_kneser_ney(spark):
         return max(c[a, b] - e, 0) / sum(after) + e * len(after) / sum(after) * single(k, b) if after else single(k, b)
 
     texts = d.select("text", "doc_id").coalesce(1)
-    folder = toxicity.answered(texts, 0, pairs, parts, ((0, 2), (1, 3)))
+    folder = toxicity.answered(texts, 0, pairs, places, ((0, 2), (1, 3)))
     truth, seen = dict(docs), 0
     order = texts.toArrow().column("doc_id").to_pylist()
     batches = pa.table({"text": [truth[i] for i in order], "doc_id": order}).combine_chunks().to_batches()
-    for own, cells, _, doc, counts in toxicity._with_counts(batches, 0, folder, 2):
+    for own, cells, _, doc, counts in toxicity._with_counts(batches, 0, places, folder, 2):
         got = model.ratios(cells, doc, counts)
         for i, x in enumerate(own.column(0).to_pylist()):
             t = truth[x].split()
