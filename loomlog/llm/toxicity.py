@@ -13,7 +13,8 @@ Beside words, the models count stems (a word's first ``STEM`` characters) in the
 same way, so that a form never seen before is judged by its family.
 
 A text's score compares its two log-likelihoods, each normalised by length, as
-a whole and in its most toxic passages of ``WINDOWS`` words.  A logistic curve
+a whole and in its most toxic passages of ``WINDOWS`` words.  It does so for
+words after words, for words alone and for stems.  A logistic curve
 turns these into a probability.  It is fitted on at most ``SAMPLE`` texts of
 one fold, scored by models that were counted on the other two; the models used
 for all other scores are counted on all three.
@@ -59,7 +60,7 @@ PART = 1 << 19  # words of the labelled texts whose pairs make one part of the p
 WORDS = 1 << 21  # words of a block, about
 CHUNK = (1 << 20) - 1  # bytes hashed at once; the hashes keep tables of the next power of two
 WINDOWS = (1, 2, 8)
-FEATURES = 1 + 2 * (2 + len(WINDOWS))
+FEATURES = 1 + 3 * (2 + len(WINDOWS))
 SAMPLE = 20_000
 LABELS = 2_000_000
 HELD_OUT, CURVE = 2, 3
@@ -462,11 +463,12 @@ def _smoothed(counts: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
 
 
 class Model:
-    """Interpolated Kneser-Ney log-ratios (toxic to ordinary) of words after words, and of words' stems."""
+    """Interpolated Kneser-Ney log-ratios (toxic to ordinary) of words after words, of words alone, and of words' stems."""
 
     def __init__(self, words: np.ndarray, before: np.ndarray, totals: np.ndarray, types: np.ndarray, few: np.ndarray, stem_counts: np.ndarray, stem_before: np.ndarray):
         """words, stem_counts, totals and types (2, CELLS) and few (2, 2): of the toxic and of the ordinary texts."""
         self.word = np.stack(_smoothed(words, before)).astype(np.float32)
+        self.alone = np.log(self.word[0] / self.word[1])
         stem = _smoothed(stem_counts, stem_before)
         self.stem = np.log(stem[0] / stem[1]).astype(np.float32)
         self.discount = [_discount(*map(int, x)) for x in few]
@@ -485,7 +487,7 @@ class Model:
 
 
 def features(model: Model, cells: np.ndarray, own_stems: np.ndarray, doc: np.ndarray, counts: np.ndarray, n_docs: int) -> np.ndarray:
-    """(n_docs, FEATURES): log length, then for words and for stems the normalised log-ratio of the text, its sum by root of length, and the best passages'."""
+    """(n_docs, FEATURES): log length, then for words after words, for words alone and for stems the normalised log-ratio of the text, its sum by root of length, and the best passages'."""
     out = np.zeros((n_docs, FEATURES))
     if not len(cells):
         return out
@@ -495,7 +497,7 @@ def features(model: Model, cells: np.ndarray, own_stems: np.ndarray, doc: np.nda
     begin, at = first[doc], np.arange(len(cells))
     out[:, 0] = np.log1p(n)
     k = 1
-    for r in (model.ratios(cells, doc, counts), model.stem[own_stems].astype(np.float64)):
+    for r in (model.ratios(cells, doc, counts), model.alone[cells].astype(np.float64), model.stem[own_stems].astype(np.float64)):
         total = np.bincount(doc, weights=r, minlength=n_docs)
         out[some, k] = total[some] / n[some]
         out[some, k + 1] = total[some] / np.sqrt(n[some])
