@@ -143,8 +143,8 @@ def test_ratios_match_brute_force_kneser_ney(spark):
     assert seen == sum(len(t.split()) for t in truth.values())
 
 
-def test_blocks_and_parts_may_be_small(spark, monkeypatch):
-    """The same scores whether texts and pairs are dealt to one block and part or to many."""
+def test_parts_and_batches_may_be_small(spark, monkeypatch):
+    """The same scores whether pairs are dealt to one part or to many, and texts to one batch or to many."""
     docs, labels = corpus(120, 5)
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
