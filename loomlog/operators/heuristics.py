@@ -15,7 +15,8 @@ from ..plans import align
 from ..plans.catalog import Catalog, wildcard
 from . import graphs, match, similarity, stats
 
-NEIGHBOURS = 3
+#: Bytes of vectors in a block, blocks at least, and rows by columns of one product.
+BLOCK_BYTES, BLOCKS, ROWS, COLUMNS = 32_000_000, 5, 1024, 4096
 
 
 def prefixes(parsed: DataFrame, catalog: Catalog) -> DataFrame:
@@ -57,34 +58,89 @@ def previous_matches(parsed: DataFrame, pattern: str, k: int = 5, seed: int = 0)
 # --- clusters ----------------------------------------------------------------
 
 
-def vector_links(vectors: DataFrame, eps: float) -> DataFrame:
-    """(u, v): pairs of vectors(id, vector) within Euclidean distance ``eps``; vectors are distinct.
+def vector_forest(vectors: DataFrame, eps: float) -> DataFrame:
+    """(u, v): edges whose components are those of all pairs of vectors(id, vector) within Euclidean distance ``eps``; vectors are distinct.
 
-    Vectors are cut into cells of width ``eps`` on three random directions;
-    pairs within eps are in the same or in adjacent cells on each of them.
+    All pairs are looked at, as no cut of space helps in many dimensions: rows
+    are dealt into blocks of bounded bytes, each pair of blocks is one group and
+    gives a tree for each component that it finds, so what leaves a group grows
+    with its rows, not with its pairs.
     """
-    sized = vectors.where(F.col("vector").isNotNull()).select("id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
-    head = sized.select(F.size("vector")).first()
-    d = head[0] if head else 1
-    q, _ = np.linalg.qr(np.random.default_rng(3).normal(size=(d, min(NEIGHBOURS, d))))
-    cell = [F.floor(scalars.dot(F.col("vector"), F.array(*[F.lit(float(x)) for x in axis])) / F.lit(eps)) for axis in q.T]
-    own = sized.select("id", "vector", *[c.alias(f"c{k}") for k, c in enumerate(cell)])
-    near = own
-    for k in range(len(cell)):
-        near = near.withColumn(f"c{k}", F.explode(F.array(*[F.col(f"c{k}") + s for s in (-1, 0, 1)])))
-    keys = [f"c{k}" for k in range(len(cell))]
-    a, b = own.withColumnsRenamed({"id": "u", "vector": "x"}), near.withColumnsRenamed({"id": "v", "vector": "y"})
-    return a.join(b, keys).where((F.col("u") < F.col("v")) & (scalars.euclidean(F.col("x"), F.col("y")) <= F.lit(eps))).select("u", "v")
+    sound = ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))  # others are near nothing
+    sized = vectors.where(F.col("vector").isNotNull()).select(F.col("id").cast("long"), F.transform("vector", lambda x: x.cast("double")).alias("vector")).where(sound)
+    held = sized.agg(F.sum(8 * F.size("vector"))).first()[0] or 0
+    blocks = max(BLOCKS, -(-held // BLOCK_BYTES))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    dealt = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = dealt.select(F.size("vector").alias("d"), F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "vector")
+
+    def run(key, group):
+        d, a, b = (k.as_py() for k in key)
+        ids = group.column("id").to_numpy()
+        x = group.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), d)
+        first = group.column("own").to_numpy() == a
+        order = np.concatenate([np.flatnonzero(first), np.flatnonzero(~first)])
+        ids, x, n = ids[order], x[order], int(first.sum())
+        root = _trees(x, slice(0, n), slice(0, n) if a == b else slice(n, len(ids)), eps)
+        far = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"u": pa.array(ids[root[far]]), "v": pa.array(ids[far])})
+
+    return pairs.repartition(2 * blocks * (blocks + 1), "d", "a", "b").groupBy("d", "a", "b").applyInArrow(run, "u long, v long")
+
+
+def _trees(x: np.ndarray, left: slice, right: slice, eps: float) -> np.ndarray:
+    """For each row the root that pairs within ``eps`` between two stretches of rows give it.
+
+    Products tell pairs that are near or far by more than their rounding; the others are measured.
+    """
+    root = np.arange(len(x))
+    norm = (x * x).sum(axis=1)
+    top = max(float(norm.max(initial=0)), eps * eps)
+    kind = np.float32 if top < 1e3 * eps * eps and top > 1e-30 else np.float64
+    slack = 4 * (x.shape[1] + 4) * float(np.finfo(kind).eps) * top
+    y, half = x.astype(kind), (norm / 2).astype(kind)
+    least = kind((eps * eps + slack) / 2)
+    for i in range(left.start, left.stop, ROWS):
+        mine = slice(i, min(i + ROWS, left.stop))
+        for j in range(right.start, right.stop, COLUMNS):
+            theirs = slice(j, min(j + COLUMNS, right.stop))
+            if left == right and theirs.stop <= mine.start:
+                continue
+            s = y[mine] @ y[theirs].T
+            s -= half[mine, None]
+            s -= half[None, theirs]
+            u, v = np.nonzero(~(s < -least))
+            u, v = u + i, v + j
+            open_ = (u != v) & (root[u] != root[v])
+            u, v = u[open_], v[open_]
+            for k in range(0, len(u), COLUMNS):
+                p, q = u[k : k + COLUMNS], v[k : k + COLUMNS]
+                at = root[p] != root[q]
+                p, q = p[at], q[at]
+                near = np.sqrt(((x[p] - x[q]) ** 2).sum(axis=1)) <= eps
+                _join(root, p[near], q[near])
+    return root
+
+
+def _join(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Joins the classes of u[i] and v[i]; every row's root is the least row of its class, before and after."""
+    while len(u):
+        a, b = root[u], root[v]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root[:] = up
+        differ = root[u] != root[v]
+        u, v = u[differ], v[differ]
 
 
 def density_clusters(vectors: DataFrame, eps: float = 0.05) -> DataFrame:
     """(id, cluster) of vectors(id, vector): components of pairs within ``eps``; a vector near no other has null.
 
-    Equal vectors are one node, so a vector with very many copies is one row in the join.
+    Equal vectors are one node, so a vector with very many copies is one row in the search.
     """
     keyed = vectors.where(F.col("vector").isNotNull()).withColumn("_k", F.transform("vector", lambda x: x.cast("double")))
     classes = graphs.cut(keyed.groupBy("_k").agg(F.min("id").alias("least"), F.count("*").alias("n")))
-    roots = graphs.components(vector_links(classes.select(F.col("least").alias("id"), F.col("_k").alias("vector")), eps)).withColumnRenamed("node", "least")
+    roots = graphs.components(vector_forest(classes.select(F.col("least").alias("id"), F.col("_k").alias("vector")), eps)).withColumnRenamed("node", "least")
     own = classes.join(roots, "least", "left").select("_k", F.when(F.col("root").isNotNull(), F.col("root")).when(F.col("n") > 1, F.col("least")).alias("cluster"))
     return keyed.select("id", "_k").join(own, "_k").select("id", "cluster")
 

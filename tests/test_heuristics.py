@@ -41,6 +41,23 @@ def test_density_clusters_against_brute_force(spark):
     assert {r.id: r.cluster for r in heuristics.direction_clusters(df, 0.9).collect()} == {i: root.get(i) for i in range(100)}
 
 
+def test_vector_forest_grows_with_rows_not_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = np.vstack([rng.normal(size=(300, 12)) * 0.01 + 1e3, rng.normal(size=(200, 12)) * 0.6, np.full((1, 12), np.nan), np.full((1, 12), np.inf)])
+    df = spark.createDataFrame([(7 * i, x.tolist()) for i, x in enumerate(v)] + [(5, [1e3] * 11)], "id long, vector array<double>")
+    monkeypatch.setattr(heuristics, "BLOCK_BYTES", 12 * 8 * 60)
+    monkeypatch.setattr(heuristics, "ROWS", 16)
+    monkeypatch.setattr(heuristics, "COLUMNS", 32)
+    eps = 1.6
+    near = [(7 * i, 7 * j) for i in range(len(v)) for j in range(i) if np.linalg.norm(v[i] - v[j]) <= eps]
+    assert len(near) > 44_000
+    edges = heuristics.vector_forest(df, eps).collect()
+    assert graphs.union_find(edges) == graphs.union_find(near)
+    assert len(edges) < 500 * 10  # a tree for each of ten blocks at most
+    got = {r.id: r.cluster for r in heuristics.density_clusters(df, eps).collect()}
+    assert got == {r.id: graphs.union_find(near).get(r.id) for r in df.collect()}
+
+
 def test_labels_and_metadata(spark):
     assert heuristics.merge_labels({1: 1, 2: 1}, {2: 2, 3: 2}, kind={1: "a", 2: "a", 3: "b"}) == {1: 1, 2: 1, 3: 3}
     clusters = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, None)], "id long, cluster long")
