@@ -148,7 +148,7 @@ def density_clusters(vectors: DataFrame, eps: float = 0.05) -> DataFrame:
 def direction_clusters(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     """The same at cosine ``least``: on unit vectors that is a Euclidean distance."""
     norm = F.sqrt(scalars.dot(F.col("vector"), F.col("vector")))
-    unit = vectors.where(F.col("vector").isNotNull()).withColumn("_n", norm).where(F.col("_n") > 0).select("id", F.transform("vector", lambda x: F.round(x.cast("double") / F.col("_n"), 12)).alias("vector"))
+    unit = match.once(vectors.where(F.col("vector").isNotNull()), _n=norm).where(F.col("_n") > 0).select("id", F.transform("vector", lambda x: F.round(x.cast("double") / F.col("_n"), 12)).alias("vector"))
     return density_clusters(unit, float(np.sqrt(2 * (1 - least))))
 
 

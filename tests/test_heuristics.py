@@ -58,6 +58,15 @@ def test_vector_forest_grows_with_rows_not_pairs(spark, monkeypatch):
     assert got == {r.id: graphs.union_find(near).get(r.id) for r in df.collect()}
 
 
+def test_directions_take_one_norm_for_each_vector(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(heuristics, "density_clusters", lambda vectors, eps: seen.append(vectors) or vectors)
+    heuristics.direction_clusters(spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0])], "id long, vector array<double>"), 0.9)
+    assert [r.vector for r in seen[0].collect()] == [[0.6, 0.8]]
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and plan.count("aggregate(") <= 2  # in the generator and a filter that it lets pass, not for each element
+
+
 def test_labels_and_metadata(spark):
     assert heuristics.merge_labels({1: 1, 2: 1}, {2: 2, 3: 2}, kind={1: "a", 2: "a", 3: "b"}) == {1: 1, 2: 1, 3: 3}
     clusters = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, None)], "id long, cluster long")
