@@ -3,18 +3,22 @@
 Searches take a stated query set against all rows: queries are held in blocks
 of a bounded size, each task keeps its own best k, and only those are shuffled.
 Clusters at distance ``eps`` with two members or more are the connected
-components of the graph of pairs within ``eps``; the pairs come from an exact
-set-similarity join by rare tokens, so no group of rows is paired in full.
+components of the graph of pairs within ``eps``; short sets that share a large
+subset have an edge to the first of them, longer ones come from an exact join by
+rare tokens, so no group of short sets is paired in full.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import itertools
+import math
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -23,6 +27,8 @@ from . import graphs
 
 #: Bytes of queries that a pass over the rows holds.
 BLOCK_BYTES = 64_000_000
+#: Large subsets of a set up to which near sets are found by them.
+SUBSETS = 256
 
 
 def _blocks(queries: DataFrame, size) -> list[list]:
@@ -139,10 +145,11 @@ def _cosine_pass(targets: DataFrame, block: list, k: int, other: bool) -> DataFr
 # --- clusters --------------------------------------------------------------
 
 
-def jaccard_links(sets: DataFrame, least: float) -> DataFrame:
+def jaccard_links(sets: DataFrame, least: float, among: Column | None = None) -> DataFrame:
     """(u, v): pairs of ``sets(id, tokens)`` with Jaccard similarity ``least`` or more; tokens sets are distinct.
 
     Two such sets share one of their few rarest tokens; only those are joined on.
+    With ``among`` one of a pair holds that condition on ``tokens``.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be above 0, at most 1")
@@ -151,13 +158,59 @@ def jaccard_links(sets: DataFrame, least: float) -> DataFrame:
     ranked = graphs.cut(ranked)
     n = F.size("tokens")
     head = F.slice("tokens", 1, (n - F.ceil(n * F.lit(least - 1e-9)) + 1).cast("int"))
-    entry = ranked.select("id", n.alias("n"), F.explode(head).alias("t"))
-    a, b = entry.toDF("u", "nu", "t"), entry.toDF("v", "nv", "t")
-    near = a.join(b, "t").where((F.col("u") < F.col("v")) & (F.least("nu", "nv") >= F.greatest("nu", "nv") * F.lit(least - 1e-9))).select("u", "v").distinct()
+    entry = ranked.select("id", n.alias("n"), (F.lit(True) if among is None else among).alias("k"), F.explode(head).alias("t"))
+    a, b = entry.toDF("u", "nu", "ku", "t"), entry.toDF("v", "nv", "kv", "t")
+    near = a.join(b, "t").where((F.col("u") < F.col("v")) & (F.col("ku") | F.col("kv")) & (F.least("nu", "nv") >= F.greatest("nu", "nv") * F.lit(least - 1e-9))).select("u", "v").distinct()
     both = near.join(ranked.toDF("u", "tu"), "u").join(ranked.toDF("v", "tv"), "v")
     return both.where(scalars.jaccard(F.col("tu"), F.col("tv")) >= F.lit(least - 1e-12)).select("u", "v")
 
 
+def _subsets(n: int, least: float) -> int:
+    """How many subsets of a set of n a set with similarity ``least`` to it can share with it."""
+    return sum(math.comb(n, k) for k in range(math.ceil(n * (least - 1e-9)), n + 1))
+
+
+def jaccard_forest(sets: DataFrame, least: float) -> DataFrame:
+    """(u, v): edges whose components are those of ``jaccard_links(sets, least)``, no more than the sets' subsets.
+
+    Near sets share a subset that is large in both.  Of all sets with one
+    subset, in order of size, those that are near by it are near to the first
+    as well, so each has one edge.  Sets with more than SUBSETS large subsets
+    are joined by their rare tokens.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0, at most 1")
+    longest = next((n for n in range(4096) if _subsets(n + 1, least) > SUBSETS), 4096)
+
+    def run(batches):
+        for b in batches:
+            keys, ids, sizes, shared = [], [], [], []
+            for i, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for k in range(math.ceil(len(tokens) * (least - 1e-9)), len(tokens) + 1):
+                    for own in itertools.combinations(tokens, k):
+                        keys.append(hashlib.blake2b(repr(own).encode(), digest_size=16).digest())
+                        ids.append(i)
+                        sizes.append(len(tokens))
+                        shared.append(k)
+                if len(keys) > 50_000:
+                    yield table(keys, ids, sizes, shared)
+                    keys, ids, sizes, shared = [], [], [], []
+            yield table(keys, ids, sizes, shared)
+
+    def table(keys, ids, sizes, shared):
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(shared, pa.int32())], ["s", "id", "n", "k"])
+
+    short = sets.where(F.size("tokens") <= longest).select(F.col("id").cast("long"), F.array_sort("tokens").alias("tokens"))
+    entries = short.mapInArrow(run, "s binary, id long, n int, k int")
+    w = Window.partitionBy("s").orderBy("n", "id")
+    stars = entries.withColumn("u", F.first("id").over(w)).withColumn("nu", F.first("n").over(w)).where("id <> u")
+    out = stars.where(F.col("k") / (F.col("n") + F.col("nu") - F.col("k")) >= F.lit(least - 1e-12)).select("u", F.col("id").alias("v"))
+    if sets.where(F.size("tokens") > longest).isEmpty():
+        return out
+    reach = sets.where(F.size("tokens") >= F.lit((longest + 1) * (least - 1e-9)))
+    return out.union(jaccard_links(reach, least, F.size("tokens") > longest))
+
+
 def jaccard_clusters(lines: DataFrame, eps: float = 0.5, strict: bool = False) -> DataFrame:
     """(id, cluster) of lines(id, text): cluster is its smallest id; lines near no other one have null.
 
@@ -166,7 +219,7 @@ def jaccard_clusters(lines: DataFrame, eps: float = 0.5, strict: bool = False) -
     tokens = lines.select("id", F.array_sort(scalars.line_tokens(F.coalesce("text", F.lit("")), strict)).alias("tokens"))
     tokens = tokens.withColumn("key", F.array_join("tokens", " "))
     classes = graphs.cut(tokens.where(F.size("tokens") > 0).groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("tokens").alias("tokens")))
-    roots = graphs.components(jaccard_links(classes.select(F.col("least").alias("id"), "tokens"), 1 - eps))
+    roots = graphs.components(jaccard_forest(classes.select(F.col("least").alias("id"), "tokens"), 1 - eps))
     labelled = classes.join(roots.withColumnRenamed("node", "least"), "least", "left")
     own = labelled.select("key", F.when(F.col("root").isNotNull(), F.col("root")).when(F.col("n") > 1, F.col("least")).alias("cluster"))
     return tokens.select("id", "key").join(own, "key", "left").select("id", "cluster")

@@ -328,6 +328,18 @@ def test_searches_against_brute_force(spark, monkeypatch):
     assert similarity.cosine_topk(df.limit(0), df, 3).count() == 0
 
 
+def test_jaccard_forest_grows_with_rows_not_pairs(spark, monkeypatch):
+    rnd = random.Random(13)
+    sets = list({tuple(sorted(rnd.sample("abcdefghij", rnd.randrange(1, 8)))) for _ in range(60)}) + [("u", "v", "w", "x", "y", "z", str(k)) for k in range(250)]
+    df = spark.createDataFrame([(i, list(s)) for i, s in enumerate(sets)], "id long, tokens array<string>")
+    for least, most in ((0.5, 256), (0.7, 256), (0.7, 6), (1.0, 256)):
+        monkeypatch.setattr(similarity, "SUBSETS", most)  # 6: the longer sets take the join
+        near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and len({*a} & {*b}) / len({*a} | {*b}) >= least]
+        edges = similarity.jaccard_forest(df, least).collect()
+        assert graphs.union_find(edges) == graphs.union_find(near)
+        assert most == 6 or least == 1 or len(near) > 31_000 > 20_000 > len(edges)
+
+
 def test_clusters(spark):
     lines = ["open file a", "open file b", "open file c", "shut door", "shut door", "", "lonely"]
     df = spark.createDataFrame(list(enumerate(lines)), "id long, text string")
