@@ -228,17 +228,19 @@ def jaccard_clusters(lines: DataFrame, eps: float = 0.5, strict: bool = False) -
 def medoids(lines: DataFrame, clusters: DataFrame) -> DataFrame:
     """(cluster, id): the member with the least sum of Jaccard distances to its cluster, ties to the smaller id.
 
-    The sum over members is a sum over distinct token sets with their counts.
-    For each cluster and token the size-weighted counts give all intersections
-    at once only for equal sizes, so distinct sets are compared in blocks.
+    A token that one set of a cluster alone has is shared with no other, so sets
+    of one size with the same other tokens are one kind: the sum over members is
+    a sum over kinds with their counts, which are compared in blocks.
     """
     sets = lines.join(clusters.where("cluster is not null"), "id").select("cluster", "id", F.array_sort(scalars.line_tokens(F.coalesce("text", F.lit("")))).alias("tokens"))
     sets = graphs.cut(sets.groupBy("cluster", "tokens").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    kinds = _kinds(sets)
+    sets = graphs.cut(kinds.groupBy("cluster", "tokens", "size").agg(F.min("id").alias("id"), F.sum("n").alias("n")))
     width = 1024
     sizes = sets.groupBy("cluster").agg(F.ceil(F.count("*") / width).cast("int").alias("blocks"))
     dealt = sets.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    left = dealt.select("cluster", F.col("own").alias("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), "id", "tokens", "n", F.lit(0).alias("side"))
-    right = dealt.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a"), F.col("own").alias("b"), "id", "tokens", "n", F.lit(1).alias("side"))
+    left = dealt.select("cluster", F.col("own").alias("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), "id", "tokens", "size", "n", F.lit(0).alias("side"))
+    right = dealt.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a"), F.col("own").alias("b"), "id", "tokens", "size", "n", F.lit(1).alias("side"))
 
     def run(key, group):
         rows = group.to_pylist()
@@ -248,19 +250,31 @@ def medoids(lines: DataFrame, clusters: DataFrame) -> DataFrame:
             for t in r["tokens"]:
                 posting[t].append(k)
         postings = {t: np.array(p) for t, p in posting.items()}
-        size, weight = np.array([len(r["tokens"]) for r in others]), np.array([r["n"] for r in others])
+        size, weight = np.array([r["size"] for r in others]), np.array([r["n"] for r in others])
         total = []
         for r in mine:
             hits = [postings[t] for t in r["tokens"] if t in postings]
             both = np.bincount(np.concatenate(hits), minlength=len(others)) if hits else np.zeros(len(others), int)
-            total.append(float(((1 - both / np.maximum(size + len(r["tokens"]) - both, 1)) * weight).sum()))
+            total.append(float(((1 - both / np.maximum(size + r["size"] - both, 1)) * weight).sum()))
         return pa.table({"cluster": pa.array([r["cluster"] for r in mine], pa.int64()), "id": pa.array([r["id"] for r in mine], pa.int64()), "total": pa.array(total, pa.float64())})
 
     sums = left.union(right).groupBy("cluster", "a", "b").applyInArrow(run, "cluster long, id long, total double")
-    each = sums.groupBy("cluster", "id").agg(F.round(F.sum("total"), 9).alias("total"))
+    sums = sums.groupBy("cluster", "id").agg(F.sum("total").alias("total")).withColumnsRenamed({"id": "kind", "cluster": "c"})
+    own = kinds.join(sets.select("cluster", "tokens", "size", F.col("id").alias("kind")), ["cluster", "tokens", "size"])
+    self = F.when(F.col("size") > 0, 1 - F.size("tokens") / F.greatest(2 * F.col("size") - F.size("tokens"), F.lit(1))).otherwise(0.0)  # what the sum has for a set's distance to itself, which is 0
+    each = own.join(sums, (F.col("cluster") == F.col("c")) & (own["kind"] == sums["kind"])).select("cluster", "id", F.round(F.col("total") - F.col("n") * self, 9).alias("total"))
     return each.groupBy("cluster").agg(F.min(F.struct("total", "id")).alias("m")).select("cluster", F.col("m.id").alias("id"))
 
 
+def _kinds(sets: DataFrame) -> DataFrame:
+    """(cluster, id, n, size, tokens): ``tokens`` without those that one set of the cluster alone has."""
+    each = sets.select("cluster", "id", F.explode("tokens").alias("t"))
+    alone = each.groupBy("cluster", "t").agg(F.min("id").alias("id"), F.count("*").alias("c")).where("c = 1").groupBy("cluster", "id").agg(F.collect_list("t").alias("alone"))
+    both = sets.join(alone, ["cluster", "id"], "left")
+    rest = F.array_except("tokens", F.coalesce("alone", F.array().cast("array<string>")))
+    return graphs.cut(both.select("cluster", "id", "n", F.size("tokens").alias("size"), rest.alias("tokens")))
+
+
 def centroids(vectors: DataFrame, by: str = "label") -> DataFrame:
     """(by, n, centroid): mean vector of each group; sums are made before the shuffle, a group may be of any size."""
     parts = vectors.where(F.col("vector").isNotNull()).select(by, F.posexplode("vector").alias("pos", "x"))

@@ -340,6 +340,20 @@ def test_jaccard_forest_grows_with_rows_not_pairs(spark, monkeypatch):
         assert most == 6 or least == 1 or len(near) > 31_000 > 20_000 > len(edges)
 
 
+def test_medoids_by_kinds_against_brute_force(spark, monkeypatch):
+    rnd = random.Random(14)
+    lines = [" ".join(rnd.sample("abcdefgh", rnd.randrange(2, 6)) + [str(rnd.randrange(40))] * rnd.randrange(2)) for _ in range(150)] + [f"open file {k}" for k in range(60)] + [""]
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, text string")
+    clusters = spark.createDataFrame([(i, i % 3) for i in range(150)] + [(i, 7) for i in range(150, 211)], "id long, cluster long")
+    sets = [frozenset(x.split()) for x in lines]
+    far = lambda a, b: 1 - len(a & b) / max(len(a | b), 1)
+    groups = [[i for i in range(150) if i % 3 == c] for c in range(3)] + [list(range(150, 211))]
+    want = {(c, min(g, key=lambda i: (round(sum(far(sets[i], sets[j]) for j in g), 9), i))) for c, g in zip((0, 1, 2, 7), groups, strict=True)}
+    assert {(r.cluster, r.id) for r in similarity.medoids(df, clusters).collect()} == want
+    sums = similarity._kinds(df.where("id >= 150").select(F.lit(7).alias("cluster"), "id", F.lit(1).alias("n"), scalars.line_tokens(F.col("text")).alias("tokens")))
+    assert sums.select("tokens", "size").distinct().count() == 2  # 60 lines of one kind, and the empty one
+
+
 def test_clusters(spark):
     lines = ["open file a", "open file b", "open file c", "shut door", "shut door", "", "lonely"]
     df = spark.createDataFrame(list(enumerate(lines)), "id long, text string")
