@@ -27,6 +27,8 @@ from . import graphs
 
 #: Bytes of queries that a pass over the rows holds.
 BLOCK_BYTES = 64_000_000
+#: Scores that a task holds at once.
+CELLS = 1 << 20
 #: Large subsets of a set up to which near sets are found by them.
 SUBSETS = 256
 
@@ -122,22 +124,29 @@ def _cosine_pass(targets: DataFrame, block: list, k: int, other: bool) -> DataFr
 
     def run(batches):
         ids, q = shared.value
-        best_s, best_t = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+        best_s, best_t = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+        rows = max(1, CELLS // 4096)  # queries that are compared at once: the scores of all would be as large as queries times targets
         for b in batches:
             b = b.filter(b.column(1).is_valid())
             for lo in range(0, b.num_rows, 4096):
                 part = b.slice(lo, 4096)
                 own = part.column(0).to_numpy()
                 m = _unit(np.stack([np.asarray(x, float) for x in part.column(1).to_numpy(zero_copy_only=False)]))
-                s = q @ m.T
-                if other:
-                    s[ids[:, None] == own[None, :]] = -np.inf
-                best_s = np.hstack([best_s, s])
-                best_t = np.hstack([best_t, np.broadcast_to(own, s.shape)])
-                order = np.lexsort([best_t, -best_s], axis=1)[:, :k]
-                best_s, best_t = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_t, order, 1)
-        row, col = np.nonzero(best_s > -np.inf)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best_t[row, col]), pa.array(best_s[row, col])], ["query_id", "target_id", "score"])
+                for at in range(0, len(ids), rows):
+                    some = slice(at, at + rows)
+                    s = q[some] @ m.T
+                    if other:
+                        s[ids[some, None] == own[None, :]] = -np.inf
+                    hit = np.flatnonzero((s >= best_s[some, -1:]).any(axis=1))  # a score as high as the k-th may have a smaller id
+                    if not len(hit):
+                        continue
+                    hit_s = np.hstack([best_s[some][hit], s[hit]])
+                    hit_t = np.hstack([best_t[some][hit], np.broadcast_to(own, (len(hit), len(own)))])
+                    order = np.lexsort([hit_t, -hit_s], axis=1)[:, :k]
+                    best_s[at + hit], best_t[at + hit] = np.take_along_axis(hit_s, order, 1), np.take_along_axis(hit_t, order, 1)
+        for at in range(0, len(ids), rows):
+            row, col = np.nonzero(best_s[at : at + rows] > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at + row]), pa.array(best_t[at + row, col]), pa.array(best_s[at + row, col])], ["query_id", "target_id", "score"])
 
     return targets.select(F.col("id").cast("long"), "vector").mapInArrow(run, "query_id long, target_id long, score double")
 

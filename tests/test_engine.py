@@ -328,6 +328,20 @@ def test_searches_against_brute_force(spark, monkeypatch):
     assert similarity.cosine_topk(df.limit(0), df, 3).count() == 0
 
 
+def test_cosine_topk_compares_few_queries_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    v = np.vstack([rng.integers(-2, 3, size=(60, 4)), rng.integers(-2, 3, size=(1, 4)).repeat(9, 0), np.zeros((2, 4))]).astype(float)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>").coalesce(1).orderBy(F.desc("id"))
+    monkeypatch.setattr(similarity, "CELLS", 3 * 4096)
+    got = {(r.query_id, r["rank"]): (r.target_id, r.score) for r in similarity.cosine_topk(df, df, 4).collect()}
+    u = similarity._unit(v)
+    for q in range(len(v)):
+        s = u @ u[q]
+        s[q] = -9
+        assert np.allclose([got[q, k][1] for k in (1, 2, 3, 4)], np.sort(s)[::-1][:4])
+    assert [got[69, k][0] for k in (1, 2, 3, 4)] == [0, 1, 2, 3]  # all scores of a zero vector are 0
+
+
 def test_jaccard_forest_grows_with_rows_not_pairs(spark, monkeypatch):
     rnd = random.Random(13)
     sets = list({tuple(sorted(rnd.sample("abcdefghij", rnd.randrange(1, 8)))) for _ in range(60)}) + [("u", "v", "w", "x", "y", "z", str(k)) for k in range(250)]
