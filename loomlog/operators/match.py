@@ -107,16 +107,29 @@ def _fields(variables, literals, values: Column) -> Column:
     return F.concat(out.cast(FIELDS), fixed.cast(FIELDS))
 
 
+def _holds(p: Plan, content: Column) -> Column:
+    holds = content.rlike(regexes.java(p.pattern))
+    if len(p.needle) > 1:
+        holds = content.contains(p.needle) & holds
+    for g in p.guards:
+        holds = holds & content.rlike(regexes.java(g))
+    return holds
+
+
+def templates_column(catalog: Catalog, content: Column) -> Column:
+    """The template ids of ``matches_column``, without their fields."""
+    content = scalars.strip(F.coalesce(content, F.lit("")))
+    found = [F.when(_holds(compile_template(catalog, t), content), F.lit(t)) for t in catalog.order()]
+    parts = [F.filter(F.array(*found[k : k + CHUNK]), lambda m: m.isNotNull()) for k in range(0, len(found), CHUNK)]
+    return (F.concat(*parts) if parts else F.array()).cast("array<int>")
+
+
 def matches_column(catalog: Catalog, content: Column) -> Column:
     content = scalars.strip(F.coalesce(content, F.lit("")))
     found = []
     for t in catalog.order():
         p = compile_template(catalog, t)
-        holds = content.rlike(regexes.java(p.pattern))
-        if len(p.needle) > 1:
-            holds = content.contains(p.needle) & holds
-        for g in p.guards:
-            holds = holds & content.rlike(regexes.java(g))
+        holds = _holds(p, content)
         fields = _fields(p.variables, p.literals, _values(content, p.pattern, len(p.variables)))
         found.append(F.when(holds, F.struct(F.lit(t).alias("template_id"), F.lit(len(p.path)).alias("trail_len"), fields.alias("fields"))))
     parts = [F.filter(F.array(*found[k : k + CHUNK]), lambda m: m.isNotNull()) for k in range(0, len(found), CHUNK)]
@@ -342,12 +355,12 @@ def unused_templates(parsed: DataFrame, catalog: Catalog) -> DataFrame:
 
 def lost_lines(lines: DataFrame, before: Catalog, after: Catalog, content: str = "content") -> DataFrame:
     """Lines that ``before`` matches and ``after`` does not."""
-    was = F.size(matches_column(before, F.col(content))) > 0
-    now = F.size(matches_column(after, F.col(content))) > 0
-    return lines.where(was & ~now)
+    was = F.size(templates_column(before, F.col(content))) > 0
+    now = F.size(templates_column(after, F.col(content))) > 0
+    return spread(lines).where(was & ~now)
 
 
 def changed_lines(lines: DataFrame, before: Catalog, after: Catalog, key: str = "line_id", content: str = "content") -> DataFrame:
     """(key, before, after): lines whose set of templates changed."""
-    ids = lambda c: F.array_sort(F.transform(matches_column(c, F.col(content)), lambda m: m["template_id"]))
-    return lines.select(key, ids(before).alias("before"), ids(after).alias("after")).where("before <> after")
+    ids = lambda c: F.array_sort(templates_column(c, F.col(content)))
+    return once(spread(lines.select(key, content)), before=ids(before), after=ids(after)).select(key, "before", "after").where("before <> after")
