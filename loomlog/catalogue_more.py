@@ -91,7 +91,7 @@ def vector_lengths(spark, sf_dir):
 
 
 def kept_lines(spark, sf_dir):
-    return stats.keep_lines(_parsed(spark, sf_dir)[0], 1)
+    return stats.keep_lines(match.parse(event_lines(spark, sf_dir), app_catalog(), partial=False), 1)
 
 
 def simplified_weights(spark, sf_dir):

@@ -80,14 +80,22 @@ def sample(parsed: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
     return _ranked(parsed, [F.xxhash64(F.lit(seed), F.col("line_id")), "line_id"], k).select("template_id", "rank", "line_id", "content")
 
 
+def _least(rows: DataFrame, order: list[str], k: int) -> DataFrame:
+    """The first k rows of each template.  The rank is compared at once, so that each task keeps k rows of a template before the shuffle."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy("template_id").orderBy(*order))).where(F.col("_r") <= k).drop("_r")
+
+
 def keep_lines(parsed: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """Lines to go on with: k of each template (the first with fewest templates, then by seed), and all unmatched ones."""
     overlap = F.size("matches")
-    rows = parsed.select("line_id", "content", overlap.alias("overlap"), F.explode("matches.template_id").alias("template_id"))
-    least = Window.partitionBy("template_id").orderBy("overlap", "line_id")
-    by_seed = Window.partitionBy("template_id").orderBy(F.col("first").desc(), F.xxhash64(F.lit(seed), F.col("line_id")), "line_id")
-    first = rows.withColumn("first", F.row_number().over(least) == 1)
-    kept = first.withColumn("rank", F.row_number().over(by_seed)).where(F.col("rank") <= max(k, 1)).select("line_id", "content").distinct()
+    rows = parsed.select("line_id", "content", overlap.alias("overlap"), F.explode("matches.template_id").alias("template_id"), F.xxhash64(F.lit(seed), F.col("line_id")).alias("_s"))
+    first = _least(rows, ["overlap", "line_id"], 1).withColumn("first", F.lit(True))
+    some = first
+    if k > 1:  # the first may be among the others, which are then one more
+        others = _least(rows, ["_s", "line_id"], k).withColumn("first", F.lit(False))
+        both = first.union(others).groupBy("template_id", "line_id").agg(F.any_value("content").alias("content"), F.any_value("_s").alias("_s"), F.max("first").alias("first"))
+        some = both.withColumn("rank", F.row_number().over(Window.partitionBy("template_id").orderBy(F.desc("first"), "_s", "line_id"))).where(F.col("rank") <= k)
+    kept = some.select("line_id", "content").distinct()
     return kept.union(match.unmatched(parsed).select("line_id", "content"))
 
 
