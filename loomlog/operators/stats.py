@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..plans.catalog import Catalog
-from . import match
+from . import graphs, match
 
 
 def value_counts(values: DataFrame) -> DataFrame:
@@ -134,8 +134,9 @@ def token_weights(values: DataFrame, simplify: float | None = None, at_least: in
     """
     parts = F.filter(F.split("value", "[^0-9A-Za-z]+"), lambda t: t != "")
     tokens = F.array_distinct(F.filter(F.concat(F.array("value"), parts), lambda t: t != ""))
-    counts = values.select("node_id", F.explode(tokens).alias("token")).groupBy("node_id", "token").agg(F.count("*").alias("n"))
-    seen = values.groupBy("node_id").agg(F.count("*").alias("_seen"))
+    kinds = graphs.cut(value_counts(values))  # lines are matched once, values split once
+    counts = kinds.select("node_id", "n", F.explode(tokens).alias("token")).groupBy("node_id", "token").agg(F.sum("n").alias("n"))
+    seen = kinds.groupBy("node_id").agg(F.sum("n").alias("_seen"))
     out = counts.join(F.broadcast(seen), "node_id").withColumn("weight", F.round(F.col("n") / F.col("_seen"), 6))
     if simplify is not None:
         many = counts.groupBy("node_id").agg(F.count("*").alias("_tokens"))

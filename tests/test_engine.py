@@ -342,6 +342,45 @@ def test_cosine_topk_compares_few_queries_at_once(spark, monkeypatch):
     assert [got[69, k][0] for k in (1, 2, 3, 4)] == [0, 1, 2, 3]  # all scores of a zero vector are 0
 
 
+def test_plans_over_all_lines(spark, tmp_path):
+    c, df = sshd(), lines_df(spark)
+    p = match.parse(df, c)
+    plan = stats.keep_lines(p, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2 and plan.count("Window [") == plan.count("WindowGroupLimit") // 2  # no window over all lines of a template
+    for k in (2, 3):
+        rows = p.select("line_id", F.size("matches").alias("o"), F.xxhash64(F.lit(0), F.col("line_id")).alias("h"), F.explode("matches.template_id").alias("t")).collect()
+        want = set()
+        for t in {r.t for r in rows}:
+            own = [r for r in rows if r.t == t]
+            first = min(own, key=lambda r: (r.o, r.line_id))
+            want |= {r.line_id for r in [first] + sorted((r for r in own if r is not first), key=lambda r: (r.h, r.line_id))[: k - 1]}
+        assert {r.line_id for r in stats.keep_lines(p, k).collect()} == want | {r.line_id for r in match.unmatched(p).collect()}
+    plan = match.changed_lines(df, c, Catalog())._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and plan.count("Generate") == 1  # no fields, and templates once for each line
+    plan = stats.token_weights(match.field_values(p, c))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate inline" not in plan  # lines are matched before, once
+
+
+def test_stream_caches_no_batch(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(DataFrame, "persist", lambda *_: pytest.fail("a batch was cached"))
+    monkeypatch.setattr(type(spark.range(1)), "persist", lambda *_: pytest.fail("a batch was cached"))
+    df, c = lines_df(spark), sshd()
+    df.write.parquet(str(tmp_path / "in"))
+    ingest.start(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), c, str(tmp_path / "home")).awaitTermination()
+    p = match.parse(df, c)
+    assert sorted(map(repr, ingest.matched_table(spark, str(tmp_path / "home")).select("line_id", "matches").collect())) == sorted(map(repr, p.where("size(matches) > 0").select("line_id", "matches").collect()))
+    assert sorted(map(repr, ingest.dead_letters(spark, str(tmp_path / "home")).select("line_id", "partial").collect())) == sorted(map(repr, p.where("size(matches) = 0 and content is not null").select("line_id", "partial").collect()))
+
+
+def test_pages_without_tables_are_not_parsed(spark, monkeypatch):
+    pages = spark.createDataFrame([(HTML,), (HTML.replace("<table", "<TABLE"),), ("<p>no</p>",), (None,)], "html string")
+    plan = logs.read_field_pages(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan.upper()
+    assert logs.read_field_pages(pages).count() == 2 * logs.read_field_pages(pages.limit(1)).count() > 0
+
+
 def test_jaccard_forest_grows_with_rows_not_pairs(spark, monkeypatch):
     rnd = random.Random(13)
     sets = list({tuple(sorted(rnd.sample("abcdefghij", rnd.randrange(1, 8)))) for _ in range(60)}) + [("u", "v", "w", "x", "y", "z", str(k)) for k in range(250)]
