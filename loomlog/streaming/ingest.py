@@ -39,13 +39,14 @@ def start(lines: DataFrame, catalog: Catalog, home: str, content: str = "content
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        own = match.parse(batch, catalog, content).withColumn("_hit", F.size("matches") > 0).persist()
-        try:
-            own.where("_hit").drop("_hit", "partial").write.mode("overwrite").parquet(f"{home}/matched/batch={number}")
-            dead = own.where(~F.col("_hit") & (F.length(content) <= MAX_LINE)).drop("_hit", "matches")
-            dead.write.mode("overwrite").parquet(f"{home}/unmatched/batch={number}")
-        finally:
-            own.unpersist()
+        # written in two passes: a cached batch is far larger than its lines, and a task reads all of its part
+        own = match.parse(batch, catalog, content, partial=False).where(F.size("matches") > 0).drop("partial")
+        own.write.mode("overwrite").parquet(f"{home}/matched/batch={number}")
+        short = batch.where(F.length(content) <= MAX_LINE)
+        if len(catalog.templates) <= match.MANY:  # no fields of lines that match
+            short = short.where(F.size(match.templates_column(catalog, F.col(content))) == 0)
+        dead = match.unmatched(match.parse(short, catalog, content)).drop("matches")
+        dead.write.mode("overwrite").parquet(f"{home}/unmatched/batch={number}")
         if on_buffer is not None:
             left = spark.read.parquet(f"{home}/unmatched/batch={number}")
             if left.limit(buffer).count() >= buffer:
