@@ -247,44 +247,53 @@ def suffix_matches(lines: DataFrame, catalog: Catalog) -> DataFrame:
     """
 
     def run(batches):
-        walk = match.Walker(catalog)
-        spans = {t: [(n, catalog.nodes[n].token) for n in catalog.templates[t]] for t in catalog.templates}
+        blank, gaps = re.compile(r"\s"), re.compile(r"\s*")
+        plans = []
+        for t in catalog.order():
+            p = match.compile_template(catalog, t)
+            tokens = [catalog.nodes[n].token for n in catalog.templates[t]]
+            spans = [(x.is_variable, x.ws, None if x.is_variable else re.compile(x.pattern(last=True))) for x in tokens]
+            plans.append((t, p.needle, re.compile(p.pattern), [re.compile(g) for g in p.guards], spans))
         for b in batches:
             rows = []
             for i, content, suffix in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 content, suffix = (content or "").strip(scalars.BLANKS), (suffix or "").strip(scalars.BLANKS)
-                bare = re.sub(r"\s", "", suffix)
-                if not re.sub(r"\s", "", content).endswith(bare):
-                    continue
-                start, left = len(content), len(bare)
-                while left:
-                    start -= 1
-                    left -= not content[start].isspace()
-                for m in walk(content)[0]:
-                    hit = walk.full[m["template_id"]].match(content)
+                if suffix and not suffix[0].isspace() and content.endswith(suffix):
+                    start = len(content) - len(suffix)  # a stripped suffix begins with no blank
+                else:
+                    bare = blank.sub("", suffix)
+                    if not blank.sub("", content).endswith(bare):
+                        continue
+                    start, left = len(content), len(bare)
+                    while left:
+                        start -= 1
+                        left -= not content[start].isspace()
+                for t, needle, full, guards, spans in plans:
+                    if needle not in content or not (hit := full.match(content)) or not all(g.match(content) for g in guards):
+                        continue
                     text, values, at, k = "", [], 0, 0
-                    for _, token in spans[m["template_id"]]:
-                        if token.is_variable:
+                    for is_variable, ws, pattern in spans:
+                        if is_variable:
                             k += 1
                             a, e = hit.span(k)
                             if e > start or a == e >= start:
                                 values.append(content[max(a, start) : e])
                                 text += "<*>"
                         else:
-                            a = re.compile(token.pattern(last=True)).search(content, at)
+                            a = pattern.search(content, at)
                             a, e = a.span() if a else (at, at)
                             if e > start:
                                 text += content[max(a, start) : e]
                         at = e
-                        gap = re.compile(r"\s*").match(content, at).end() if token.ws else at
+                        gap = gaps.match(content, at).end() if ws else at
                         if gap > start:
                             text += " " * (gap - max(at, start))
                         at = gap
-                    rows.append((i, m["template_id"], " ".join(text.split()), values))
+                    rows.append((i, t, " ".join(text.split()), values))
             cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.list_(pa.string()))], ["line_id", "template_id", "text", "values"])
 
-    return lines.select(F.col("line_id").cast("long"), "content", "suffix").mapInArrow(run, "line_id long, template_id int, text string, values array<string>")
+    return match.spread(lines.select(F.col("line_id").cast("long"), "content", "suffix")).mapInArrow(run, "line_id long, template_id int, text string, values array<string>")
 
 
 def write_benchmark(parsed: DataFrame, catalog: Catalog, path: str) -> None:
