@@ -395,7 +395,7 @@ def html_fields(spark, sf_dir):
     key = cells("td", F.lit("key"), F.lit("int32"), F.lit("optional"), F.concat(F.lit("the <b>key</b> &amp; "), F.col("p_partkey").cast("string")))
     size = cells("td", F.lit(" size "), F.lit("<i>uint64</i>"), F.lit(""), F.col("p_size").cast("string"))
     html = F.concat(F.lit("<html><h2>Part "), F.col("p_partkey").cast("string"), F.lit("</h2><p>text</p><table>"), head, key, size, F.lit("</table></html>"))
-    return logs.read_field_pages(read(spark, sf_dir, "pages").select("html").union(read(spark, sf_dir, "part").select(html)))
+    return logs.read_field_pages(read(spark, sf_dir, "pages").select("html").union(read(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(spark.sparkContext.defaultParallelism).select(html)))
 
 
 def stream_match_available_now(spark, sf_dir):
